@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandmill.llm import percentiles as pct
+from strandmill.llm import neardup, percentiles as pct
 from strandmill.plans.registry import Registry
 from strandmill.session import table
 
@@ -30,3 +30,25 @@ def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     found = pct.percentiles(table(spark, folder, "request_records"), ["server", "concurrency_level"], ["latency_ms", "ttfb_ms"], "request_id", "start_ts")
     day = F.when(F.col("per_day"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd")).otherwise(F.lit("all"))
     return found.select("measure", F.col("k0").alias("server"), F.col("k1").alias("concurrency_level"), day.alias("day"), "n", *[F.round(F.col("quantiles")[i], 6).alias(f"p{round(q * 100)}") for i, q in enumerate(pct.QUANTILES)], "error_bound")
+
+
+def bank_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """field, id, text of the three fields in which near-duplicates are looked for."""
+    articles, items = table(spark, folder, "tds_articles"), table(spark, folder, "benchmark_items")
+    return (
+        articles.select(F.lit("tds_articles.content").alias("field"), F.col("article_id").alias("id"), F.col("content").alias("text"))
+        .unionByName(items.select(F.lit("benchmark_items.content").alias("field"), "id", F.col("content").alias("text")))
+        .unionByName(items.select(F.lit("benchmark_items.prompt").alias("field"), "id", F.col("prompt").alias("text")))
+    )
+
+
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    keyed = neardup.keyed_texts(bank_texts(spark, folder))
+    return neardup.expand_pairs(keyed, neardup.similar_classes(keyed)).withColumnRenamed("field", "field_name")
+
+
+@LLM.add("p2_groups")
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    keyed = neardup.keyed_texts(bank_texts(spark, folder))
+    return neardup.groups(keyed, neardup.similar_classes(keyed)).withColumnRenamed("field", "field_name")
