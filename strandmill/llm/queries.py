@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandmill.llm import neardup, percentiles as pct
+from strandmill.llm import mixture, neardup, percentiles as pct
+from strandmill.llm.tokenize import Tokenizer
 from strandmill.plans.registry import Registry
 from strandmill.session import table
 
 LLM = Registry()
 
+
+@lru_cache
+def tokenizer() -> Tokenizer:
+    """byte_bpe_50k, read once a session."""
+    return Tokenizer()
+
+
 _P3_SQL = """
 WITH once AS (
   SELECT DISTINCT request_id, server, concurrency_level, start_ts, latency_ms, ttfb_ms FROM request_records
@@ -52,3 +62,34 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     keyed = neardup.keyed_texts(bank_texts(spark, folder))
     return neardup.groups(keyed, neardup.similar_classes(keyed)).withColumnRenamed("field", "field_name")
+
+
+@LLM.add("p7_ids")
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer().encode(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+
+
+@LLM.add("p7_roundtrip")
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose text is, and is not, given back by decoding their ids."""
+    encoded = tokenizer().encode(table(spark, folder, "documents").select("text"), "text")
+    same = tokenizer().decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    return encoded.groupBy(same.alias("same")).agg(F.count("*").alias("n_documents"), F.sum(F.size("ids")).alias("n_tokens"))
+
+
+def _mixture(spark: SparkSession, folder: str):
+    documents = tokenizer().encode(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+    sized = documents.select("doc_id", "source", F.size("ids").alias("n_tokens"), mixture.quality_weight(F.col("text")).alias("weight"))
+    return mixture.mix(sized, table(spark, folder, "source_targets"))
+
+
+@LLM.add("p8_mixture")
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return _mixture(spark, folder)[0]
+
+
+@LLM.add("p8_shares")
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares, repeats and sizes of each source."""
+    return mixture.mixture_report(*_mixture(spark, folder))

@@ -16,80 +16,119 @@ tokens in a text are ordinary text. `decode` gives the text back; ids outside th
 
 from __future__ import annotations
 
-
 import json
 import os
-from dataclasses import dataclass, field
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 FIRST, LAST = 0x4E00, 0x9FFF
-_IDEOGRAPH = "\\x{4E00}-\\x{9FFF}"
+#: The words of byte_bpe_50k; a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 30
 
 
-
 def _literal(values, kind: str) -> Column:
     """An array literal: folded by the optimiser, so a plan holds one constant and no thousands of expressions."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
-@dataclass
-class RankMap:
-    """(a, b) -> merged id; ids are in the order of their ranks."""
+def _bind(value: Column, body) -> Column:
+    """body(value), with the value made once: a lambda's variable isn't computed again where it is used again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _layout(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and displace: a shift for each group of hashes, by which each hash has a slot of its own; and these slots."""
+    size, groups = 1 << bits, 1 << (bits - 2)
+    group, slot = hashes & (groups - 1), (hashes >> 24) & (size - 1)
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(groups + 1))
+    shifts, taken, slots = np.zeros(groups, np.int64), np.zeros(size, bool), np.zeros(len(hashes), np.int64)
+    for g in np.argsort(-np.diff(cuts), kind="stable"):
+        own = order[cuts[g] : cuts[g + 1]]
+        if not len(own):
+            break
+        for shift in range(size):
+            at = (slot[own] + shift) & (size - 1)
+            if not taken[at].any() and len(set(at.tolist())) == len(at):
+                break
+        else:
+            raise ValueError("no layout; take more bits")
+        shifts[g], taken[at], slots[own] = shift, True, at
+    return shifts, slots
+
+
+class _Table:
+    """A literal hash table of longs, one slot a key; `entry` gives the only slot in which a key can be.
+
+    hash_of(keys, i) is the i-th of a family of hashes of 48 bits, of numpy arrays and of columns; the first with a layout is taken.
+    """
+
+    def __init__(self, keys: np.ndarray, entries: np.ndarray, hash_of, bits: int = 17) -> None:
+        self.size, self.groups, self.hash_of = 1 << bits, 1 << (bits - 2), hash_of
+        for self.i in range(16):
+            try:
+                shifts, slots = _layout(hash_of(keys, self.i), bits)
+                break
+            except ValueError:
+                if self.i == 15:
+                    raise
+        held = np.full(self.size, -1, np.int64)
+        held[slots] = entries
+        self.shifts, self.held = _literal(shifts, "int"), _literal(held, "bigint")
+
+    def entry(self, key: Column) -> Column:
+        def of(h: Column) -> Column:
+            shift = F.get(self.shifts, h.bitwiseAND(self.groups - 1).cast("int"))
+            return F.get(self.held, (F.shiftright(h, 24) + shift).bitwiseAND(self.size - 1).cast("int"))
+
+        return _bind(self.hash_of(key, self.i), of)
+
+
+def _product(keys, i: int):
+    """A product modulo a prime above all keys, different for different keys; it never leaves 63 bits, so Spark's longs follow."""
+    return keys * (1103515245 + 2 * i) % 281474976710597
 
-    merges: dict[tuple[int, int], int]
-    bits: int = 17
-    shifts: np.ndarray = field(init=False)
-    keys: np.ndarray = field(init=False)
-    values: np.ndarray = field(init=False)
 
-    def __post_init__(self) -> None:
-        size, groups = 1 << self.bits, 1 << (self.bits - 2)
-        if max(map(max, self.merges)) >= 1 << 16:
+def _window(hashes, i: int):
+    """48 of a hash's 64 bits."""
+    return hashes >> i & 0xFFFFFFFFFFFF if isinstance(hashes, np.ndarray) else F.shiftright(hashes, i).bitwiseAND(0xFFFFFFFFFFFF)
+
+
+class RankMap:
+    """(a, b) -> merged id; ids are in the order of their ranks and below 2^16."""
+
+    def __init__(self, merges: dict[tuple[int, int], int]) -> None:
+        if max(map(max, merges)) >= 1 << 16 or max(merges.values()) >= 1 << 16:
             raise ValueError("ids of 16 bits at most")
-        keys = np.array([a << 16 | b for a, b in self.merges], dtype=np.int64)
-        merged = np.array(list(self.merges.values()), dtype=np.int64)
-        h = self._hash(keys)
-        group, slot = h & (groups - 1), (h >> 24) & (size - 1)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(groups + 1))
-        self.shifts, self.keys, self.values = np.zeros(groups, np.int64), np.full(size, -1, np.int64), np.zeros(size, np.int64)
-        taken = np.zeros(size, bool)
-        for g in np.argsort(-np.diff(cuts), kind="stable"):
-            own = order[cuts[g] : cuts[g + 1]]
-            if not len(own):
-                continue
-            for shift in range(size):
-                at = (slot[own] + shift) & (size - 1)
-                if not taken[at].any() and len(np.unique(at)) == len(at):
-                    break
-            else:
-                raise ValueError("no layout; take more bits")
-            self.shifts[g], taken[at], self.keys[at], self.values[at] = shift, True, keys[own], merged[own]
-
-    @staticmethod
-    def _hash(keys: np.ndarray) -> np.ndarray:
-        """A product modulo a prime above all keys, different for different keys; it never leaves 63 bits, so Spark's longs follow."""
-        return keys * 1103515245 % 281474976710597
+        self.merges = merges
+        keys = np.array([a << 16 | b for a, b in merges], dtype=np.int64)
+        self.table = _Table(keys, keys << 16 | np.array(list(merges.values()), dtype=np.int64), _product)
 
     def lookup(self, left: Column, right: Column) -> Column:
         """The merged id of a pair, or a number above all ids."""
         key = F.shiftleft(left.cast("long"), 16).bitwiseOR(right.cast("long"))
-        h = key * 1103515245 % 281474976710597
-        return self._found(key, h)
+        return _bind(self.table.entry(key), lambda e: F.when(F.shiftright(e, 16) == key, e.bitwiseAND(0xFFFF).cast("int")).otherwise(F.lit(_NONE)))
 
-    def _found(self, key: Column, h: Column) -> Column:
-        size, groups = 1 << self.bits, 1 << (self.bits - 2)
-        shift = F.get(_literal(self.shifts, "int"), h.bitwiseAND(groups - 1).cast("int"))
-        slot = (F.shiftright(h, 24) + shift).bitwiseAND(size - 1).cast("int")
-        return F.when(F.get(_literal(self.keys, "bigint"), slot) == key, F.get(_literal(self.values, "int"), slot)).otherwise(F.lit(_NONE))
+    def fold(self, ids: list[int]) -> list[int]:
+        """The same on the driver."""
+        ids = list(ids)
+        while len(ids) > 1:
+            best, at = min((self.merges.get(pair, _NONE), i) for i, pair in enumerate(zip(ids, ids[1:])))
+            if best == _NONE:
+                break
+            ids[at : at + 2] = [best]
+        return ids
 
 
 class Tokenizer:
-    """A byte-level BPE of the folder of public tokenizers (a .json of the tokenizers library)."""
+    """A byte-level BPE of the folder of public tokenizers (a .json of the tokenizers library).
+
+    Pieces are handled as strings of the characters U+0000 to U+00FF that stand for their bytes.
+    """
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> None:
         with open(os.path.join(folder, f"{name}.json"), encoding="utf-8") as f:
@@ -105,112 +144,91 @@ class Tokenizer:
             raise ValueError("ids don't follow the ranks")
         self.byte_ids = [model["vocab"][c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])]
         self.ranks = RankMap({(a, b): c for a, b, c in ids})
+        # Pieces that are a token: only those that folding gives, so that the shortcut never changes a result.
+        whole = [i for i, p in enumerate(self.pieces) if p and self.ranks.fold([self.byte_ids[b] for b in p]) == [i]]
+        named = [self.pieces[i].decode("latin-1") for i in whole]
+        hashes = np.array([xxhash.xxh64(p.encode(), seed=42).intdigest() for p in named], dtype=np.uint64).view(np.int64)
+        self.words = _Table(hashes, np.array(whole, dtype=np.int64), _window)
+        self.names = F.split(F.lit("\u0100".join(p.decode("latin-1") for p in self.pieces)), "\u0100")
         self._ideographs: list[Column] | None = None
 
-    def unsafe_pairs(self) -> list[tuple[str, str]]:
-        """Classes of ideographs (left, right) between which a token may lie across the cut."""
-        found = set()
-        points = {chr(c).encode(): c for c in range(FIRST, LAST + 1)}
-        for token in self.pieces:
-            for p in range(1, len(token)):
-                if 0xE4 <= token[p] <= 0xE9 and token[p - 1] >= 0x80:
-                    left, right = token[max(0, p - 3) : p], token[p : p + 3]
-                    a = frozenset(c for b, c in points.items() if b.endswith(left) or left.endswith(b))
-                    b_ = frozenset(c for b, c in points.items() if b.startswith(right))
-                    if a and b_:
-                        found.add((a, b_))
-        return sorted((_char_class(a), _char_class(b)) for a, b in found)
-
-    def pattern(self) -> str:
-        """The words' pattern, with ideographs cut off from each other where no token lies across."""
-        h = f"[{_IDEOGRAPH}]"
-        joins = "".join(f"|(?<={a}){b}" for a, b in self.unsafe_pairs())
-        letters = rf"\p{{L}}(?:(?<!{h})\p{{L}}|(?!{h})\p{{L}}{joins})*+"
-        return rf"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?{letters}| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+)"
-
-    def bytes_of(self, piece: Column) -> Column:
-        """The first ids of a piece, one for each byte of its UTF-8 form."""
-        ids = _literal(self.byte_ids, "int")
-
-        def of(character: Column) -> Column:
-            c = F.ascii(character)
-            low = lambda shift: F.lit(0x80).bitwiseOR(F.shiftright(c, shift).bitwiseAND(0x3F))
-            get = lambda b: F.get(ids, b)
-            return (
-                F.when(c < 0x80, F.array(get(c)))
-                .when(c < 0x800, F.array(get(F.lit(0xC0).bitwiseOR(F.shiftright(c, 6))), get(low(0))))
-                .when(c < 0x10000, F.array(get(F.lit(0xE0).bitwiseOR(F.shiftright(c, 12))), get(low(6)), get(low(0))))
-                .otherwise(F.array(get(F.lit(0xF0).bitwiseOR(F.shiftright(c, 18))), get(low(12)), get(low(6)), get(low(0))))
-            )
-
-        return F.flatten(F.transform(F.split(piece, ""), of))
+    def cut(self) -> str:
+        """Where a run of ideographs (U+4000 to U+9FFF, as bytes) may be cut: no token holds the bytes at both sides."""
+        across = sorted({(t[:p][-3:], t[p : p + 3]) for t in self.pieces for p in range(1, len(t)) if 0xE4 <= t[p] <= 0xE9 and t[p - 1] >= 0x80})
+        short = {(a, b) for a, b in across if not any((a.endswith(c) and b.startswith(d)) and (a, b) != (c, d) for c, d in across)}
+        code = lambda x: "".join(f"\\x{{{c:02X}}}" for c in x)
+        unsafe = "".join(f"(?!(?<={code(a)}){code(b)})" for a, b in sorted(short))
+        return rf"(?<=[\x{{E4}}-\x{{E9}}][\x{{80}}-\x{{BF}}]{{2}})(?=[\x{{E4}}-\x{{E9}}]){unsafe}"
+
+    def split(self, text: Column) -> Column:
+        """Pieces of a text, as bytes' characters: words of the tokenizer's pattern, runs of ideographs cut where no merge can cross."""
+        words = F.regexp_extract_all(text, F.lit(f"(?U)({PATTERN})"), F.lit(1))
+        view = lambda w: F.decode(F.encode(w, "utf-8"), "iso-8859-1")
+        return F.flatten(F.transform(words, lambda w: F.when(w.rlike("[\\x{4000}-\\x{9FFF}]{2}"), F.split(view(w), self.cut())).otherwise(F.array(view(w)))))
 
     def fold(self, ids: Column) -> Column:
         """Ids after all merges: each step merges the leftmost pair of the lowest rank."""
+        none = F.array().cast("array<int>")
 
         def step(state: Column, _: Column) -> Column:
             held, best = state["ids"], state["best"]
-            lowest = F.array_min(best)
-            at = F.array_position(best, lowest).cast("int")
-            merged = F.concat(F.slice(held, F.lit(1), at - 1), F.array(lowest), F.slice(held, at + 2, F.size(held)))
-            left = F.when(at > 1, F.array(self.ranks.lookup(F.get(held, at - 2), lowest))).otherwise(F.array().cast("array<int>"))
-            right = F.when(at < F.size(best), F.array(self.ranks.lookup(lowest, F.get(held, at + 1)))).otherwise(F.array().cast("array<int>"))
-            again = F.concat(F.slice(best, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(best, at + 2, F.size(best)))
-            return F.when(F.coalesce(lowest, F.lit(_NONE)) == _NONE, state).otherwise(F.struct(merged.alias("ids"), again.alias("best")))
+
+            def merge(low: Column, at: Column) -> Column:
+                merged = F.concat(F.slice(held, F.lit(1), at - 1), F.array(low), F.slice(held, at + 2, F.size(held)))
+                left = F.when(at > 1, F.array(self.ranks.lookup(F.get(held, at - 2), low))).otherwise(none)
+                right = F.when(at < F.size(best), F.array(self.ranks.lookup(low, F.get(held, at + 1)))).otherwise(none)
+                again = F.concat(F.slice(best, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(best, at + 2, F.size(best)))
+                return F.struct(merged.alias("ids"), again.alias("best"))
+
+            return _bind(F.coalesce(F.array_min(best), F.lit(_NONE)), lambda low: F.when(low == _NONE, state).otherwise(_bind(F.array_position(best, low).cast("int"), lambda at: merge(low, at))))
 
         first = F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids)), lambda a, b: self.ranks.lookup(a, b))
         start = F.struct(ids.alias("ids"), first.alias("best"))
         return F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step)["ids"]
 
     def encode_piece(self, piece: Column) -> Column:
-        """Ids of one piece of at least one character."""
-        ids = self.bytes_of(piece)
-        # aggregate over one element binds the ids to a variable, so they are made once.
-        return F.transform(F.array(ids), lambda x: F.when(F.size(x) < 2, x).otherwise(self.fold(x)))[0]
+        """Ids of one piece: itself, if it is a token, else its folded bytes."""
+        codes = _literal(self.byte_ids, "int")
+        single = lambda p: F.transform(F.split(p, ""), lambda c: F.get(codes, F.ascii(c)))
+        known = F.coalesce(self.words.entry(F.xxhash64(piece)), F.lit(-1)).cast("int")
+        return _bind(known, lambda i: F.when(F.get(self.names, i) == piece, F.array(i)).otherwise(_bind(single(piece), self.fold)))
 
     def ideographs(self, spark: SparkSession) -> list[Column]:
         """First, second and third id (-1: none) of each ideograph, as literals in code point order."""
         if self._ideographs is None:
-            rows = spark.range(FIRST, LAST + 1, 1, 1).select("id", self.encode_piece(_character(F.col("id"))).alias("ids")).orderBy("id").collect()
-            self._ideographs = [_literal([r["ids"][i] if len(r["ids"]) > i else -1 for r in rows], "int") for i in range(3)]
+            p = F.col("id")
+            octets = [F.shiftright(p, 12).bitwiseOR(0xE0), F.shiftright(p, 6).bitwiseAND(0x3F).bitwiseOR(0x80), p.bitwiseAND(0x3F).bitwiseOR(0x80)]
+            rows = spark.range(FIRST, LAST + 1, 1, 1).select("id", self.encode_piece(F.concat(*[F.char(o) for o in octets])).alias("ids")).collect()
+            ids = [r["ids"] for r in sorted(rows, key=lambda r: r["id"])]
+            self._ideographs = [_literal([x[i] if len(x) > i else -1 for x in ids], "int") for i in range(3)]
         return self._ideographs
 
     def encode(self, df: DataFrame, text: str, ids: str = "ids") -> DataFrame:
         """`df` with the column of ids of a text column."""
         first, second, third = self.ideographs(df.sparkSession)
-        single = lambda p: (F.length(p) == 1) & F.ascii(p).between(FIRST, LAST)
-
-        def of(words: Column) -> Column:
-            other = F.array_distinct(F.filter(words, lambda p: ~single(p)))
-            known = F.map_from_arrays(other, F.transform(other, self.encode_piece))
 
-            def one(known: Column) -> Column:
-                def piece(p: Column) -> Column:
-                    at = F.ascii(p) - FIRST
-                    own = F.when(F.get(second, at) < 0, F.array(F.get(first, at))).when(F.get(third, at) < 0, F.array(F.get(first, at), F.get(second, at))).otherwise(F.array(F.get(first, at), F.get(second, at), F.get(third, at)))
-                    return F.when(single(p), own).otherwise(F.element_at(known, p))
+        def ideograph(p: Column) -> Column:
+            """Place of an ideograph in the literals; null of any other piece."""
+            bits = lambda i: F.ascii(F.substring(p, i, 1)).bitwiseAND(0x3F)
+            lead = F.ascii(p)
+            at = F.shiftleft(lead.bitwiseAND(0x0F), 12) + F.shiftleft(bits(2), 6) + bits(3) - FIRST
+            return F.when((F.length(p) == 3) & lead.between(0xE4, 0xE9), F.when(at >= 0, at))
 
-                return F.flatten(F.transform(words, piece))
+        def own(at: Column) -> Column:
+            return _bind(F.get(second, at), lambda b: F.when(b < 0, F.array(F.get(first, at))).otherwise(_bind(F.get(third, at), lambda c: F.when(c < 0, F.array(F.get(first, at), b)).otherwise(F.array(F.get(first, at), b, c)))))
 
-            return F.transform(F.array(known), one)[0]
+        def of(pieces: Column) -> Column:
+            other = F.array_distinct(F.filter(pieces, lambda p: ideograph(p).isNull()))
+            known = _bind(other, lambda o: F.map_from_arrays(o, F.transform(o, self.encode_piece)))
+            return _bind(known, lambda m: F.flatten(F.transform(pieces, lambda p: _bind(ideograph(p), lambda at: F.when(at.isNotNull(), own(at)).otherwise(F.element_at(m, p))))))
 
-        words = F.regexp_extract_all(F.col(text), F.lit(self.pattern()), F.lit(1))
-        bound = F.transform(F.array(words), of)[0]
-        return df.withColumn(ids, F.when(F.length(text) > 0, bound).otherwise(F.array().cast("array<int>")))
+        return df.withColumn(ids, F.when(F.length(text) > 0, _bind(self.split(F.col(text)), of)).otherwise(F.array().cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
         """The text of ids; null for null ids and for ids that aren't in the vocabulary."""
-        hexes = _literal([p.hex() or "-" for p in self.pieces], "string")
-        pieces = F.transform(ids, lambda i: F.get(hexes, i))
-        whole = F.decode(F.unhex(F.array_join(pieces, "")), "utf-8")
-        return F.when(~F.exists(pieces, lambda p: F.coalesce(p, F.lit("-")) == "-"), whole)
-
-
-def _character(point: Column) -> Column:
-    """The character of a code point between U+0800 and U+FFFF."""
-    octet = lambda c: F.lpad(F.hex(c), 2, "0")
-    p = point.cast("long")
-    return F.decode(F.unhex(F.concat(octet(F.shiftright(p, 12).bitwiseOR(0xE0)), octet(F.shiftright(p, 6).bitwiseAND(0x3F).bitwiseOR(0x80)), octet(p.bitwiseAND(0x3F).bitwiseOR(0x80)))), "utf-8")
+        pieces = F.transform(ids, lambda i: F.get(self.names, i))
+        whole = F.decode(F.encode(F.array_join(pieces, ""), "iso-8859-1"), "utf-8")
+        return F.when(~F.exists(pieces, lambda p: F.coalesce(p, F.lit("")) == ""), whole)
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -218,14 +236,3 @@ def _byte_of_character() -> dict[str, int]:
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
-
-
-def _char_class(points: frozenset[int]) -> str:
-    """A regular expression's class of code points, in runs."""
-    out, run = [], []
-    for p in [*sorted(points), -1]:
-        if run and p != run[-1] + 1:
-            out.append(f"\\x{{{run[0]:X}}}" + (f"-\\x{{{run[-1]:X}}}" if len(run) > 1 else ""))
-            run = []
-        run.append(p)
-    return f"[{''.join(out)}]"
