@@ -13,8 +13,8 @@ Defined results: labels are compared without case and surrounding white space; d
 that has no target aren't used. A document without tokens is repeated with its epochs but adds nothing. Sources with a
 target but without tokens can't be met: the others' shares are scaled to 1, and the report shows them with share 0.
 A target's share or repeats that are null or not positive mean that the source isn't used; of targets with equal labels
-the shares are added and the smallest repeats hold. The document at the end of a budget is taken if that brings the sum
-nearer to it. Repeated rows of an id are documents of their own. Empty tables give an empty mixture.
+the shares are added and the smallest repeats hold. Whole documents fill a budget in key order, and one more is taken if that brings the sum
+nearer to it; it is the one of its partition that brings it nearest. Repeated rows of an id are documents of their own. Empty tables give an empty mixture.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ SEED = 20240601
 
 def quality_weight(text: Column) -> Column:
     """Between 0.05 and 1: the share of letters, digits and ideographs, less for very short texts and for broken characters."""
-    length = F.length(text)
+    length = F.nullif(F.length(text), F.lit(0))
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / length
     broken = F.length(F.regexp_replace(text, r"[^\x{FFFD}\p{Cc}&&[^\n\r\t]]+", "")) / length
     long_enough = F.least(F.lit(1.0), length / F.lit(120.0))
@@ -99,8 +99,12 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Dat
     ends_df = F.broadcast(spark.createDataFrame(ends, "source string, epochs int, rest double, at int, before long"))
     rows = placed.join(ends_df, "source")
     inside = Window.partitionBy("source").orderBy("sample_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.filter("pid = at").withColumn("sum", F.sum("n_tokens").over(inside) + F.col("before"))
-    extra = F.when((F.col("rest") > 0) & (F.col("sum") - F.col("n_tokens") / 2.0 <= F.col("rest")), 1).otherwise(0)
+    # Whole documents up to the budget, and the one document of the same partition that then brings the sum nearest to it.
+    edge = rows.filter("pid = at").withColumn("sum", F.sum("n_tokens").over(inside) + F.col("before")).withColumn("fits", (F.col("rest") > 0) & (F.col("sum") <= F.col("rest")))
+    edge = edge.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("sum"))).over(Window.partitionBy("source")), F.col("before")))
+    miss = F.abs(F.col("n_tokens") - F.col("gap"))
+    edge = edge.withColumn("nearest", F.row_number().over(Window.partitionBy("source", "fits").orderBy(miss, "doc_id")))
+    extra = F.when(F.col("fits") | ((F.col("rest") > 0) & (F.col("nearest") == 1) & (miss < F.col("gap"))), 1).otherwise(0)
     others = rows.filter("pid <> at").withColumn("repeats", F.col("epochs") + F.when((F.col("rest") > 0) & (F.col("pid") < F.col("at")), 1).otherwise(0))
     columns = ["doc_id", "source", "n_tokens", "repeats"]
     return edge.withColumn("repeats", F.col("epochs") + extra).select(columns).unionByName(others.select(columns)).filter("repeats > 0"), plans

@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandmill.llm import mixture, neardup, percentiles as pct
+from strandmill.llm import garbled, lookalikes, mixture, neardup, percentiles as pct
 from strandmill.llm.tokenize import Tokenizer
 from strandmill.plans.registry import Registry
 from strandmill.session import table
@@ -93,3 +93,56 @@ def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual shares, repeats and sizes of each source."""
     return mixture.mixture_report(*_mixture(spark, folder))
+
+
+@LLM.add("p9_found")
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, folder, "documents"), "doc_id").select("doc_id").distinct()
+
+
+@LLM.add("p9_restored")
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents, the mappings that were undone and the original text where nothing was lost."""
+    return garbled.find_garbled(table(spark, folder, "documents"), "doc_id")
+
+
+def _look_alike_tables(spark: SparkSession, folder: str):
+    return (
+        ("documents", table(spark, folder, "documents"), "doc_id", "text"),
+        ("ptt_articles", table(spark, folder, "ptt_articles"), "article_id", "content"),
+        ("tds_articles", table(spark, folder, "tds_articles"), "article_id", "content"),
+    )
+
+
+@LLM.add("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with disguised characters; documents that are garbled aren't among them."""
+    out = None
+    for name, rows, key, text in _look_alike_tables(spark, folder):
+        if name == "documents":
+            stats = garbled.pair_statistics(rows)
+            wrong = garbled.find_garbled(rows.filter(F.col("text").rlike(lookalikes.CANDIDATE)), key, text, stats).select(key).distinct()
+            rows = rows.join(wrong, key, "left_anti")
+        found = lookalikes.find_disguised(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"))
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+@LLM.add("p4_forms")
+def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """The consistent form of every disguised record."""
+    out = None
+    for name, rows, key, text in _look_alike_tables(spark, folder):
+        found = lookalikes.find_disguised(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "kinds", "form")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@LLM.add("p4_groups")
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that look the same and are written in different ways, of all three tables."""
+    all_rows = None
+    for name, rows, key, text in _look_alike_tables(spark, folder):
+        own = rows.select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("key"), F.col(text).alias("text"))
+        all_rows = own if all_rows is None else all_rows.unionByName(own)
+    return lookalikes.look_alike_groups(all_rows, "key", "text")
