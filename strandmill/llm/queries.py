@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandmill.llm import garbled, lookalikes, mixture, neardup, percentiles as pct
+from strandmill.llm import garbled, lookalikes, mixture, neardup, pairs, percentiles as pct
 from strandmill.llm.tokenize import Tokenizer
 from strandmill.plans.registry import Registry
 from strandmill.session import table
@@ -146,3 +146,16 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
         own = rows.select(F.concat(F.lit(f"{name}:"), F.col(key).cast("string")).alias("key"), F.col(text).alias("text"))
         all_rows = own if all_rows is None else all_rows.unionByName(own)
     return lookalikes.look_alike_groups(all_rows, "key", "text")
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pairs.find_broken_pairs(table(spark, folder, "llm_responses"), table(spark, folder, "benchmark_items"))
+    return found.select("response_id", "defect_type").distinct()
+
+
+@LLM.add("p1_defects")
+def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every defect of every broken pair."""
+    found = pairs.find_broken_pairs(table(spark, folder, "llm_responses"), table(spark, folder, "benchmark_items"))
+    return found.select("response_id", F.explode("defects").alias("defect_type")).distinct()
