@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandmill.llm import garbled, lookalikes, mixture, neardup, pairs, percentiles as pct
+from strandmill.llm import garbled, lookalikes, mixture, neardup, pairs, percentiles as pct, pii
 from strandmill.llm.tokenize import Tokenizer
 from strandmill.plans.registry import Registry
 from strandmill.session import table
@@ -159,3 +159,30 @@ def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
     """Every defect of every broken pair."""
     found = pairs.find_broken_pairs(table(spark, folder, "llm_responses"), table(spark, folder, "benchmark_items"))
     return found.select("response_id", F.explode("defects").alias("defect_type")).distinct()
+
+
+def _pii_tables(spark: SparkSession, folder: str):
+    return (
+        ("documents", table(spark, folder, "documents"), "doc_id", "text"),
+        ("ptt_articles", table(spark, folder, "ptt_articles"), "article_id", "content"),
+        ("ptt_pushes", table(spark, folder, "ptt_pushes"), "push_id", "content"),
+    )
+
+
+@LLM.add("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    out = None
+    for name, rows, key, text in _pii_tables(spark, folder):
+        found = pii.find_kinds(rows, key, text).select(F.lit(name).alias("table_name"), "record_id", "pii_kind")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@LLM.add("p6_redacted")
+def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of every record with placeholders, and the kinds that were replaced."""
+    out = None
+    for name, rows, key, text in _pii_tables(spark, folder):
+        found = pii.redact(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "redacted", "kinds")
+        out = found if out is None else out.unionByName(found)
+    return out
