@@ -46,7 +46,7 @@ DOUBLE_SURNAMES = ("歐陽", "欧阳", "司馬", "司马", "上官", "諸葛", "
 # Characters that hardly occur in given names.
 _NOT_GIVEN = frozenset("的了是在有不也都和與与跟就這这那個个們们我你他她它很會会要到說说對对為为著着過过把被讓让從从比而且或及等上下中前後后裡里外大小多少仍更最只又已被將将如但若因所以每各某其之乎者吧嗎吗呢啊喔哦嗯一二三四五六七八九十百千萬億兩几幾年月日時时分秒點点次件名人員员先生小姐老師师女士先說說縣县市鄉乡鎮镇村區区路街號号段巷弄樓楼站店館馆院校所局部協会會社司司組组配按例比差距排第後值得必須請请找寄到來来去做看聽听寫写讀读買买賣卖開开關关起見见想知道地得")
 # Words that begin with a surname's character and are no names.
-_COMMON = frozenset("高中 高級 高級 方便 白天 黃金 周末 金融 文化 程式 安全 何時 任何 包裹 石油 林業 江湖 馬路 時間 常常 平常 關於 應該 項目 曾經 於是 孔雀 雲端 童年 夏天 花園 高雄 金門 連江 馬祖 康復 游泳 游客 管理 管道 單車 單位 連結 連絡 向來 向日 解答 解決 簡單 簡訊 溫暖 溫度 路線 路口 車站 車主 古典 古老 藍圖 莊嚴 文章 文件 史料 易懂 甘願 常見 左右 谷歌 於今 安靜 安排 平坦 樂團 樂園 樂於 樂器 樂隊 薄荷 包含 包括 官方 官網 房屋 房東 房客 符合 池塘 關卡 關心 應對 聯盟 歸還 溫泉 農曆 盛大 初學 初期 班長 班級 班導 司機 馬上 時常 文學 文字 方法 方向 方案 水果".split())
+_COMMON = frozenset("高中 高級 高級 方便 白天 黃金 周末 金融 文化 程式 安全 何時 任何 包裹 石油 林業 江湖 馬路 時間 常常 平常 關於 應該 項目 曾經 於是 孔雀 雲端 童年 夏天 花園 高雄 金門 連江 馬祖 康復 游泳 游客 管理 管道 單車 單位 連結 連絡 向來 向日 解答 解決 簡單 簡訊 溫暖 溫度 路線 路口 車站 車主 古典 古老 藍圖 莊嚴 文章 文件 史料 易懂 甘願 常見 左右 谷歌 於今 安靜 安排 平坦 樂團 樂園 樂於 樂器 樂隊 薄荷 包含 包括 官方 官網 房屋 房東 房客 符合 池塘 關卡 關心 應對 聯盟 歸還 溫泉 農曆 盛大 初學 初期 嚴重 嚴格 嚴肅 陰暗 陰天 冷清 冷靜 冷淡 單調 單純 單一 平靜 平凡 溫和 溫柔 康健 安穩 白色 黃色 藍色 班長 班級 班導 司機 馬上 時常 文學 文字 方法 方向 方案 水果".split())
 # Words at the left and right of a name; a surname must touch them.
 _NAME_LEFT = {"contact": ("聯絡人：", "聯絡人:", "联系人：", "联系人:", "聯絡人 ", "聯繫人：", "收件人：", "收件人:", "收件人", "寄件人：", "寄件人", "承辦人：", "負責人：", "負責人", "姓名：", "姓名:", "姓名", "作者：", "作者:", "署名：", "簽名：", "窗口：", "申請人：", "當事人", "投稿人：", "聯絡", "洽詢", "請洽"), "self": ("我是", "我叫", "本人", "名叫", "名字是", "敝姓", "我的名字是"), "ask": ("請找", "请找", "找到", "拜託", "麻煩", "轉交", "交給", "寄給", "撥給", "打給"), "with": ("昨晚和", "昨天和", "今天和", "上週和", "週末和", "昨晚跟", "昨天跟", "今天跟", "約了", "遇到", "碰到", "看到", "陪著", "帶著"), "thank": ("謝謝", "谢谢", "感謝", "感谢", "多謝", "多虧"), "person": ("鄰居", "邻居", "同事", "同學", "同学", "朋友", "室友", "房東", "學長", "學姊", "學弟", "學妹", "主任", "經理", "店長", "老闆", "班導", "導師", "醫師", "護理師", "記者", "主管", "助理", "表哥", "表妹", "阿姨", "店員", "管理員", "老師", "教練"), "signed": ("簽到的是", "签到的是", "出席的是", "得獎的是", "回信的是", "寄件的是", "負責的是", "登記的是", "值班的是")}
 _NAME_LEFT_SHORT = ("by ", "By ", "BY ", "by：", "by:", "和", "跟", "與", "找", "是", "洽", "叫", "問", "向", "給")
@@ -76,7 +76,7 @@ _EMAIL = re.compile(rf"[A-Za-z0-9][A-Za-z0-9._%+\-]*{_AT}[A-Za-z0-9][A-Za-z0-9\-
 _EMAIL_HINT = re.compile(r"@|[(\[{<（［【]\s?(?:at|AT|At)\s?[)\]}>）］】]| (?:dot|DOT) ")
 _N = r"(?:[0-9]{1,5}|[一二三四五六七八九十百零〇○]{1,7})"
 _ADDRESS = re.compile(
-    rf"(?:[0-9]{{3,6}}\s?)?(?:[㐀-鿿]{{2,3}}[縣县市])?(?:[㐀-鿿]{{1,3}}[區区鄉乡鎮镇市])?(?:[㐀-鿿]{{1,3}}[村里])?(?:{_N}鄰)?[㐀-鿿]{{1,4}}?(?:路|街|大道|巷)\s?(?:{_N}段)?\s?(?:{_N}巷)?\s?(?:{_N}弄)?\s?{_N}(?:\s?[之\-]\s?{_N})?\s?[號号](?:之{_N})?(?:\s?{_N}(?:樓|楼|F))?(?:之{_N}|{_N}室)?"
+    rf"(?:(?<![0-9A-Za-z])[0-9]{{3,6}}\s?)?(?:[㐀-鿿]{{2,3}}[縣县市])?(?:[㐀-鿿]{{1,3}}[區区鄉乡鎮镇市])?(?:[㐀-鿿]{{1,3}}[村里])?(?:{_N}鄰)?[㐀-鿿]{{1,4}}?(?:路|街|大道|巷)\s?(?:{_N}段)?\s?(?:{_N}巷)?\s?(?:{_N}弄)?\s?{_N}(?:\s?[之\-]\s?{_N})?\s?[號号](?:之{_N})?(?:\s?{_N}(?:樓|楼|F))?(?:之{_N}|{_N}室)?"
     rf"|[㐀-鿿]{{1,3}}[縣县市][㐀-鿿]{{1,3}}[區区鄉乡鎮镇市][㐀-鿿]{{0,4}}[村里鄰]?\s?{_N}(?:[之\-]{_N})?[號号]"
     r"|(?:(?:Unit|Apt|Suite|Flat|Apartment|Room|No\.)\.?\s?#?\w{1,5},?\s+)?\b[0-9]{1,5}[A-Za-z]?,?\s+(?:[A-Z][A-Za-z'’.\-]+\s+){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Boulevard|Blvd|Drive|Dr|Court|Ct|Place|Pl|Way|Terrace|Square|Sq|Crescent|Close|Row|Highway|Hwy|Parkway|Pkwy|Circle|Alley|Quay|Mews|Hill|Gardens)\b\.?(?:,?\s+(?:Unit|Apt|Suite|Flat|Apartment|Room|Floor|#)\.?\s?#?\w{1,5})?"
     r"|\b[0-9]{1,4}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)\s+(?:de |du |des |la |le |d['’]|l['’])*[A-ZÀ-Þ][\w'’\-]+"
@@ -87,7 +87,7 @@ _ADDRESS = re.compile(
 )
 _ADDRESS_HINT = re.compile(r"[號号]|[0-9][A-Za-z]?,?\s+(?:[A-Z]|rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours)|丁目|ул|улица|проспект|пер\.|[Cc]alle|[Aa]v|[Pp]laza|[Pp]aseo|[Rr]ua|[Tt]ravessa|[Pp]raça|C/|(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm)\s|[로길]")
 _NUMBER = re.compile(
-    r"(?<![A-Za-z0-9@.])(?:(?P<lead>[A-Za-z]{1,2})[ \-]?)?(?P<body>(?:\+|00)?[(（]?[0-9](?:[ ().（）\-]{0,2}[0-9]){5,19}(?:[Xx](?![A-Za-z]))?)(?![A-Za-z0-9@])"
+    r"(?<![A-Za-z0-9@.])(?P<lead>[A-Za-z]{1,2})?(?P<body>(?:\+[0-9]{1,3} ?|00)?[(（]?[0-9](?:[ .)）\-]{0,2}[0-9]){5,19}(?:[Xx](?![A-Za-z]))?)(?![A-Za-z0-9@])"
     r"|(?P<words>[零〇○一二三四五六七八九](?:[ \-]?[零〇○一二三四五六七八九]){7,11})"
 )
 _NUMBER_HINT = re.compile(r"[0-9][0-9 ().（）\-]{5}|[零〇○一二三四五六七八九]{8}")
@@ -159,8 +159,11 @@ class Node:
     potentials: np.ndarray | None = field(default=None, repr=False)
 
 
+_SENTENCE = re.compile(r"[。！？!?\n]|(?<!no)\.\s")
+
+
 def _beside(text: str, start: int, end: int) -> list[str]:
-    left, right = text[max(0, start - 14) : start].lower(), text[end : end + 14].lower()
+    left, right = _SENTENCE.split(text[max(0, start - 14) : start].lower())[-1], text[end : end + 14].lower()
     out = []
     for kind, words in _NUMBER_CUES.items():
         if any(w in left for w in words):
@@ -183,11 +186,14 @@ def _numbers(text: str) -> Iterator[Node]:
             body, lead = m.group("words").translate(_CHINESE_DIGITS), ""
             form = "words-" + number_form("", body)
         else:
+            # A bracket around the number isn't part of it.
+            if body[0] in "(（" and not re.match(r"[(（][0-9]{2,4}[)）]", body):
+                body, start = body[1:], m.start("body") + 1
             # A number's own brackets only; what follows a closed identity number is another number.
             if (ssn := re.match(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9])", body)) and not lead:
-                body, end = ssn.group(), m.start("body") + ssn.end()
+                body, end = ssn.group(), start + ssn.end()
             elif not lead and (tel := re.match(r"[(（]?0[2-8][)）][ -]?[0-9]{3,4}[- ]?[0-9]{4}(?![0-9])|09[0-9]{2}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])|\+886[ -]?9[0-9]{2}[ -]?[0-9]{3}[ -]?[0-9]{3}(?![0-9])|\+44 ?7[0-9]{3} ?[0-9]{6}(?![0-9])|07[0-9]{3} ?[0-9]{6}(?![0-9])|\+1[ -.]?[0-9]{3}[ -.][0-9]{3}[ -.][0-9]{4}(?![0-9])|[(]?[2-9][0-9]{2}[)]?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])", body)):
-                body, end = tel.group(), m.start("body") + tel.end()
+                body, end = tel.group(), start + tel.end()
             elif lead and (own := re.match(r"[0-9]{3}[- ]?[0-9]{3}[- ]?[0-9]{3}(?![0-9])" if len(lead) == 1 else r"[0-9]{8}(?![0-9])", body)):
                 body, end = own.group(), m.start("body") + own.end()
             form = number_form(lead, body)
@@ -304,7 +310,8 @@ def candidates(text: str) -> list[Node]:
             found.append(Node(m.start(), m.end(), ("email",), ["email", f"email-file:{tail in ('png', 'jpg', 'gif', 'svg', 'webp', 'py', 'js')}"], re.sub(r"\s|[()\[\]]", "", m.group().lower()), "email"))
     if _ADDRESS_HINT.search(text):
         for m in _ADDRESS.finditer(text):
-            found.append(Node(m.start(), m.end(), ("address",), ["address", f"address-road:{bool(re.search('[路街巷弄]|大道|[A-Za-z]', m.group()))}"], re.sub(r"\s", "", m.group()), "address"))
+            verb = re.match(r"(?:[搬退回]?到|請?寄到?|[我住]?在|往|至|住|請|退)+(?=[㐀-鿿0-9])", m.group())
+            found.append(Node(m.start() + (verb.end() if verb else 0), m.end(), ("address",), ["address", f"address-road:{bool(re.search('[路街巷弄]|大道|[A-Za-z]', m.group()))}"], re.sub(r"\s", "", m.group()), "address"))
     if _NUMBER_HINT.search(text):
         found += _numbers(text)
     found += _han_names(text)
@@ -409,10 +416,11 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, dict[str, str]]]:
     codes = [lambda: f"20{d(2)}0{r.choice('123456789')}1{r.choice('012')}-{d(4)}", lambda: r.choice("ABCXYZ") + d(8), lambda: "".join(r.choice("ABCXYZ") for _ in range(2)) + d(6), lambda: f"47{d(11)}", lambda: f"{d(2)}.{d(1)}.{d(1)}.{d(2)}", lambda: d(6), lambda: d(7), lambda: f"20{d(2)}-0{r.choice('123456789')}-1{d(1)}", lambda: f"20{d(2)}/0{r.choice('123456789')}/1{d(1)} 19:30", lambda: d(8), lambda: d(12), lambda: f"0.{d(6)}", lambda: f"{d(3)}-{d(3)}-{d(1)}", lambda: d(9)]
     phone_in = ["電話：{}", "手機 {} 晚上才接", "有事請撥{}，謝謝。", "Call {} after six.", "TEL {}", "line 或 {} 都可以", "It rang {} all night.", "My number is {}.", "（{}）", "打 {} 找我。", "撿到的人，{}，感謝。", "Is {} still yours?", "{}", "聯絡方式 {} 。"]
     id_in = ["身分證字號 {} 。", "證號：{}", "健保卡背面 {} 。", "My SSN is {}.", "購票實名：{}。", "報名時填的是{}，請核對。", "ID {} 已登記", "The form says {} by mistake.", "filed under {} last year", "表格上寫成{}，", "Social Security no. {}", "（{}）", "{}"]
-    code_in = ["訂單 {} 已出貨。", "貨號 {} 缺貨中。", "條碼 {} 掃不到。", "版本 {} 昨晚釋出。", "Order {} has shipped.", "item {} is sold out", "build {} is out", "{} 開演", "step {}。", "比數 {}，觀眾很多。", "增加到{}件", "barcode {} won't scan", "ticket {} was closed", "at step {} the loss fell"]
-    name_in = ["聯絡人：{}", "我是{}，第一次發文。", "昨晚和{}一起看首映。", "鄰居{}說票都賣完了。", "請找{}小姐領取。", "謝謝{}先生幫忙。", "{}老師改的考卷", "{} 敬上", "by {}", "簽到的是{}跟他弟弟。", "收件人：{}", "同事{}表示可以。"]
+    code_in = ["訂單 {} 已出貨。", "貨號 {} 缺貨中。", "條碼 {} 掃不到。", "版本 {} 昨晚釋出。", "Order {} has shipped.", "item {} is sold out", "build {} is out", "{} 開演", "step {}。", "比數 {}，觀眾很多。", "增加到{}件", "barcode {} won't scan", "ticket {} was closed", "at step {} the loss fell", "{}", "{} ！", "（{}）"]
+    name_in = ["聯絡人：{}", "我是{}，第一次發文。", "昨晚和{}一起看首映。", "鄰居{}說票都賣完了。", "請找{}小姐領取。", "謝謝{}先生幫忙。", "{}老師改的考卷", "{} 敬上", "by {}", "簽到的是{}跟他弟弟。", "收件人：{}", "同事{}表示可以。", "老師{}說可以。"]
+    nouns = "器室影評網路機車票房海流溪山公園電視手報圖書館料品茶咖啡陶織風雨森林步道市場農田教練球賽指標樣本課程節目議題利率基金模型"
     latin_in = ["My name is {}.", "Regards, {}", "Last night {} came along too.", "Please ask for {} at the desk.", "My neighbor {} sold both seats.", "Thanks to Ms. {} for the notes.", "-- {}", "by {}"]
-    not_han = ["聯絡人：{}", "謝謝{}老師", "是{}，", "找{}。", "和{}都", "跟{}與", "我是{}的", "感謝{}先生", "與{}配上"]
+    not_han = ["聯絡人：{}", "謝謝{}老師", "是{}，", "找{}。", "和{}都", "跟{}與", "我是{}的", "感謝{}先生", "與{}配上", "雖然教練{}，", "同事{}，", "老師{}的", "主任{}也", "鄰居{}。"]
     not_latin = ["by the {}.", "by {} Bureau.", "In {} Lane", "with {} Guild.", "Last week {} Institute agreed.", "-- {} Studio"]
     common = [w for w in sorted(_COMMON) if w[0] in _SURNAME]
     for _ in range(count):
@@ -427,12 +435,12 @@ def _examples(count: int, seed: int) -> Iterator[tuple[str, dict[str, str]]]:
                 v, s = r.choice(codes)(), r.choice(code_in)
             elif kind == "name":
                 v, s = han(), r.choice(name_in)
-                if len(v) < 3 and s.startswith(("by", "{} 敬")):
+                if len(v) < 3 and not s.startswith(("聯絡人", "收件人", "謝謝", "請找")):
                     s = "請找{}小姐領取。"
             elif kind == "latin":
                 v, s = latin(), r.choice(latin_in)
             elif kind == "no name":
-                v, s = r.choice((r.choice(common), r.choice(SURNAMES[:160]) + r.choice(sorted(_NOT_GIVEN)) + r.choice(given), r.choice(SURNAMES[:160]) + "".join(r.sample(sorted(_NOT_GIVEN), 2)))), r.choice(not_han)
+                v, s = r.choice((r.choice(common), r.choice(SURNAMES[:160]) + "".join(r.sample(nouns, r.choice((1, 2)))), r.choice(SURNAMES[:160]) + r.choice(nouns), r.choice(SURNAMES[:160]) + r.choice(sorted(_NOT_GIVEN)) + r.choice(given), r.choice(SURNAMES[:160]) + "".join(r.sample(sorted(_NOT_GIVEN), 2)))), r.choice(not_han)
             elif kind == "no latin":
                 v, s = latin().split(" ")[0].rstrip(","), r.choice(not_latin)
             elif kind == "email":
