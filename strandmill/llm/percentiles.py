@@ -3,7 +3,7 @@
 One distributed sort of (group, value) serves every quantile and both granularities:
 
 1. `percentile_state` counts equal values per group and day, combined before the shuffle. A state is a table of
-   (measure, keys, day, value, n); states of separate partitions or days are combined by a union, nothing is lost.
+   (measure, keys, period, value, n); states of separate partitions or days are combined by a union (`combine_states`), nothing is lost. A period is a day.
 2. `percentiles_from_state` range-partitions the state by group and value and keeps it (checkpoint). Counts per
    partition, group and day give, as running sums over the partitions, the offset of each partition in its group.
    Each partition finds the positions that fall into it, and the two neighbours of a position are interpolated.
@@ -22,15 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strandmill.session import cut
+from strandmill.operators.order_statistics import order_statistics
 
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
-#: State rows to a partition of the sort; one probe holds one such partition.
-ROWS_PER_PARTITION = 400_000
 
 
 def epoch_day(seconds: Column) -> Column:
@@ -39,104 +35,30 @@ def epoch_day(seconds: Column) -> Column:
 
 
 def percentile_state(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], identity: str | None, time: str | None) -> DataFrame:
-    """measure, k0.., day, value, n: how often each value occurs in a group on a day."""
+    """measure, k0.., period, value, n: how often each value occurs in a group on a day."""
     named = {f"k{i}": F.col(k) for i, k in enumerate(keys)}
     day = epoch_day(F.col(time)) if time else F.lit(None).cast("int")
-    wide = rows.select(*[c.alias(n) for n, c in named.items()], day.alias("day"), *[F.col(m).cast("double").alias(f"v{i}") for i, m in enumerate(measures)], *([F.col(identity).alias("identity")] if identity else []))
+    wide = rows.select(*[c.alias(n) for n, c in named.items()], day.alias("period"), *[F.col(m).cast("double").alias(f"v{i}") for i, m in enumerate(measures)], *([F.col(identity).alias("identity")] if identity else []))
     if identity:
         body = F.struct(*[c for c in wide.columns if c != "identity"])
         once = wide.filter("identity is not null").groupBy("identity").agg(F.min(body).alias("b")).select("b.*")
         wide = once.unionByName(wide.filter("identity is null").drop("identity"))
-    long = wide.select(*named, "day", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"v{i}").alias("value")) for i, m in enumerate(measures)])).alias("m"))
-    long = long.select("m.measure", *named, "day", (F.col("m.value") + F.lit(0.0)).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return long.groupBy("measure", *named, "day", "value").agg(F.count("*").alias("n"))
-
-
-def combine_states(states: Sequence[DataFrame]) -> DataFrame:
-    """The state of all rows from states of disjoint sets of rows."""
-    out = states[0]
-    for s in states[1:]:
-        out = out.unionByName(s)
-    return out.groupBy([c for c in states[0].columns if c != "n"]).agg(F.sum("n").alias("n"))
-
-
-def _runs(data: pd.DataFrame, by: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
-    """Running counts within each group (rows are in value order) and, by group, the rows that hold it."""
-    group = data.groupby(by, dropna=False, sort=False).ngroup().to_numpy()
-    order = np.argsort(group, kind="stable")
-    return order, group[order]
-
-
-def _positions(quantiles: Sequence[float], total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.outer(total - 1, np.asarray(quantiles))
-    return np.floor(at).astype(np.int64), np.ceil(at).astype(np.int64)
-
-
-def _neighbours(keys: list[str], quantiles: tuple[float, ...]):
-    """For one partition of the sorted state: the values at the wanted positions of each of its groups."""
-    group_keys = ["measure", *keys]
-
-    def find(data: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for per_day in (False, True):
-            by = [*group_keys, "day"] if per_day else group_keys
-            rows = data[data["day"].notna()] if per_day else data
-            own = blocks[blocks["per_day"] == per_day]
-            if not len(rows) or not len(own):
-                continue
-            rows = rows.sort_values("value", kind="stable")
-            order, group = _runs(rows, by)
-            n, value = rows["n"].to_numpy(np.int64)[order], rows["value"].to_numpy(np.float64)[order]
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            heads = rows.iloc[order[starts]][by].merge(own, on=by, how="left")
-            low, high = _positions(quantiles, heads["total"].to_numpy(np.int64))
-            running = np.cumsum(n)
-            before = running[starts] - n[starts]
-            inside = np.r_[running[starts[1:] - 1], running[-1]] - before
-            offset = heads["offset"].to_numpy(np.int64)
-            for j, q in enumerate(quantiles):
-                for side, at in (("low", low[:, j]), ("high", high[:, j])):
-                    rest = at - offset
-                    hit = np.flatnonzero((rest >= 0) & (rest < inside))
-                    found = np.searchsorted(running, before[hit] + rest[hit], "right")
-                    out.append(heads.iloc[hit][by].assign(per_day=per_day, q=q, side=side, value=value[found], total=heads["total"].to_numpy()[hit]))
-        columns = [*group_keys, "day", "per_day", "q", "side", "value", "total"]
-        if not out:
-            return pd.DataFrame(columns=columns)
-        return pd.concat(out, ignore_index=True).reindex(columns=columns)
-
-    return find
-
-
-def percentiles_from_state(state: DataFrame, quantiles: Sequence[float] = QUANTILES, expected_rows: int | None = None, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """measure, k0.., per_day, day, n, quantiles (array, in the order asked for), error_bound.
-
-    expected_rows: rows of the state or a bound of them, for the number of partitions; counted if not given.
-    """
-    keys = [c for c in state.columns if c not in ("measure", "day", "value", "n")]
-    kinds = dict(state.dtypes)
-    quantiles = tuple(quantiles)
-    spark = state.sparkSession
-    if expected_rows is None:
-        state = cut(state)
-        expected_rows = state.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-expected_rows // rows_per_partition), 1)
-    group = ["measure", *keys]
-    placed = cut(state.repartitionByRange(partitions, *group, "value").withColumn("pid", F.spark_partition_id()))
-    per_day = placed.filter("day is not null").groupBy("pid", *group, "day").agg(F.sum("n").alias("inside")).withColumn("per_day", F.lit(True))
-    overall = placed.groupBy("pid", *group).agg(F.sum("n").alias("inside")).withColumn("day", F.lit(None).cast("int")).withColumn("per_day", F.lit(False))
-    # A window holds one row for each partition that a group touches.
-    within = Window.partitionBy(*group, "day", "per_day")
-    blocks = per_day.unionByName(overall).select("*", (F.sum("inside").over(within.orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")).alias("offset"), F.sum("inside").over(within).alias("total")).drop("inside")
-    # Blocks go to their partition; the pairs of keys of the two sides are the pid only, so nothing depends on key names.
-    kind = ", ".join(["measure string", *[f"{k} {kinds[k]}" for k in keys], "day int", "per_day boolean", "q double", "side string", "value double", "total long"])
-    found = placed.groupBy("pid").cogroup(blocks.groupBy("pid")).applyInPandas(_neighbours(keys, quantiles), kind)
-    both = found.groupBy(*group, "per_day", "day", "total", "q").agg(F.max(F.when(F.col("side") == "low", F.col("value"))).alias("low"), F.max(F.when(F.col("side") == "high", F.col("value"))).alias("high"))
-    at = F.col("q") * (F.col("total") - 1)
-    share = at - F.floor(at)
-    line = F.when(share == 0, F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * share)
-    wide = both.groupBy(*group, "per_day", "day", F.col("total").alias("n")).agg(*[F.max(F.when(F.col("q") == F.lit(q), line)).alias(f"q{i}") for i, q in enumerate(quantiles)])
-    return wide.select(*group, "per_day", "day", "n", F.array(*[f"q{i}" for i in range(len(quantiles))]).alias("quantiles"), F.lit(0.0).alias("error_bound"))
+    long = wide.select(*named, "period", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"v{i}").alias("value")) for i, m in enumerate(measures)])).alias("m"))
+    long = long.select("m.measure", *named, "period", (F.col("m.value") + F.lit(0.0)).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    return long.groupBy("measure", *named, "period", "value").agg(F.count("*").alias("n"))
+
+
+def percentiles_from_state(state: DataFrame, quantiles: Sequence[float] = QUANTILES, expected_rows: int | None = None) -> DataFrame:
+    """measure, k0.., per_period, period, n, quantiles (array, in the order asked for), error_bound."""
+    keys = [c for c in state.columns if c not in ("measure", "period", "value", "n")]
+    found = order_statistics(state, [rule for q in quantiles for rule in (("low", q), ("high", q))], expected_rows)
+
+    def line(i: int, q: float) -> Column:
+        at = F.lit(q) * (F.col("total") - 1)
+        low, high = F.col("values")[2 * i], F.col("values")[2 * i + 1]
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
+
+    return found.select("measure", *keys, "per_period", "period", F.col("total").alias("n"), F.array(*[line(i, q) for i, q in enumerate(quantiles)]).alias("quantiles"), F.lit(0.0).alias("error_bound"))
 
 
 def percentiles(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], identity: str | None = None, time: str | None = None, quantiles: Sequence[float] = QUANTILES) -> DataFrame:

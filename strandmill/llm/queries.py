@@ -38,7 +38,7 @@ FROM spread GROUP BY ALL
 @LLM.add("p3_percentiles", _P3_SQL)
 def p3_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     found = pct.percentiles(table(spark, folder, "request_records"), ["server", "concurrency_level"], ["latency_ms", "ttfb_ms"], "request_id", "start_ts")
-    day = F.when(F.col("per_day"), F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd")).otherwise(F.lit("all"))
+    day = F.when(F.col("per_period"), F.date_format(F.date_from_unix_date("period"), "yyyy-MM-dd")).otherwise(F.lit("all"))
     return found.select("measure", F.col("k0").alias("server"), F.col("k1").alias("concurrency_level"), day.alias("day"), "n", *[F.round(F.col("quantiles")[i], 6).alias(f"p{round(q * 100)}") for i, q in enumerate(pct.QUANTILES)], "error_bound")
 
 
