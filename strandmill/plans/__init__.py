@@ -3,6 +3,8 @@
 
 def registries():
     """All registries of the core; the subpackage for model data brings its own."""
+    from strandmill.plans.bank_queries import BANK
+    from strandmill.plans.metric_queries import METRICS
     from strandmill.plans.orphan_queries import ORPHANS
 
-    return [ORPHANS]
+    return [ORPHANS, METRICS, BANK]
