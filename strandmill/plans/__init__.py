@@ -6,5 +6,6 @@ def registries():
     from strandmill.plans.bank_queries import BANK
     from strandmill.plans.metric_queries import METRICS
     from strandmill.plans.orphan_queries import ORPHANS
+    from strandmill.plans.text_queries import TEXT
 
-    return [ORPHANS, METRICS, BANK]
+    return [ORPHANS, METRICS, BANK, TEXT]
