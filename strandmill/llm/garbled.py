@@ -254,7 +254,7 @@ def examine(text: str, runs: list[tuple[int, int]], stats: Statistics) -> tuple[
     return garbled, now if whole else None, ", ".join(path)
 
 
-def _find(broadcast, keep: list[str]):
+def _find(broadcast):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stats = broadcast.value
         for batch in batches:
@@ -267,7 +267,9 @@ def _find(broadcast, keep: list[str]):
                         rows.append(i)
                         restored.append(good)
                         mappings.append(path)
-            yield batch.iloc[rows][keep].assign(restored=restored, mappings=mappings)
+            if rows:
+                keys = [None if pd.isna(k) else k for k in batch["key"].iloc[rows]]
+                yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "restored": pd.Series(restored, dtype=object), "mappings": pd.Series(mappings, dtype=object)})
 
     return find
 
@@ -279,4 +281,4 @@ def find_garbled(texts: DataFrame, key: str, text: str = "text", stats: Statisti
     # Pure ASCII can't be garbled in these ways.
     rows = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike("[^\\x{00}-\\x{7F}]"))
     held = texts.sparkSession.sparkContext.broadcast(stats)
-    return rows.mapInPandas(_find(held, ["key"]), f"key {kind}, restored string, mappings string").withColumnRenamed("key", key)
+    return rows.mapInPandas(_find(held), f"key {kind}, restored string, mappings string").withColumnRenamed("key", key)

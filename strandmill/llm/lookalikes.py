@@ -87,7 +87,8 @@ _KANA = re.compile("[ｦ-ﾟ]+")
 _SPACE = re.compile(f"[{_SPACES}]")
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _ACCENTED = re.compile("[^\\W\\d_][̀-ͯ]")
-_MIXED = re.compile("(?=[^\\W\\d_]*[A-Za-zÀ-ɏḀ-ỿ])(?=[^\\W\\d_]*[Ͱ-ԯ])[A-Za-zÀ-ɏḀ-ỿ̀-ͯͰ-ԯ]+")
+_WORD = re.compile("[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f\u0370-\u052f]+")
+_CROSSING = re.compile("[\u0370-\u052f]")
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _TO_LATIN = str.maketrans(CROSS_SCRIPT)
 _TO_CYRILLIC = str.maketrans({b: a for a, b in reversed(_CYRILLIC.items()) if b.isalpha() and a != "ӏ" and b not in "bnrhsijdqwvl"})
@@ -131,6 +132,8 @@ def _hide(text: str) -> tuple[str, bool]:
 def _one_script(m: re.Match) -> str:
     """A word of one script: that of most letters, Latin if even or where a letter has no look-alike."""
     word = m.group()
+    if not _CROSSING.search(word) or not _LATIN.search(word):
+        return word
     latin = len(_LATIN.findall(word))
     letters = sum(c.isalpha() for c in word)
     if latin * 2 < letters:
@@ -155,9 +158,11 @@ def consistent(text: str) -> tuple[str, list[str]]:
         kinds.append("space")
         form = _SPACE.sub(" ", form)
     form = unicodedata.normalize("NFC", form)
-    joined = _MIXED.sub(_one_script, form)
-    if joined != form or _MIXED.search(form):
-        kinds.append("mixed scripts")
+    joined = form
+    if _CROSSING.search(form):
+        joined = _WORD.sub(_one_script, form)
+        if any(_CROSSING.search(w) and _LATIN.search(w) for w in _WORD.findall(form)):
+            kinds.append("mixed scripts")
     return unicodedata.normalize("NFC", joined), kinds
 
 

@@ -14,12 +14,16 @@ from strandmill.session import table
 LLM = Registry()
 
 
-@lru_cache
-def tokenizer() -> Tokenizer:
-    """byte_bpe_50k, read once a session."""
+@lru_cache(1)
+def _tokenizer(application: str) -> Tokenizer:
     return Tokenizer()
 
 
+def tokenizer(spark: SparkSession) -> Tokenizer:
+    """byte_bpe_50k, read once a session."""
+    return _tokenizer(spark.sparkContext.applicationId)
+
+
 _P3_SQL = """
 WITH once AS (
   SELECT DISTINCT request_id, server, concurrency_level, start_ts, latency_ms, ttfb_ms FROM request_records
@@ -66,19 +70,19 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.add("p7_ids")
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenizer().encode(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
+    return tokenizer(spark).encode(table(spark, folder, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
 
 @LLM.add("p7_roundtrip")
 def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose text is, and is not, given back by decoding their ids."""
-    encoded = tokenizer().encode(table(spark, folder, "documents").select("text"), "text")
-    same = tokenizer().decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    encoded = tokenizer(spark).encode(table(spark, folder, "documents").select("text"), "text")
+    same = tokenizer(spark).decode(F.col("ids")) == F.coalesce("text", F.lit(""))
     return encoded.groupBy(same.alias("same")).agg(F.count("*").alias("n_documents"), F.sum(F.size("ids")).alias("n_tokens"))
 
 
 def _mixture(spark: SparkSession, folder: str):
-    documents = tokenizer().encode(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+    documents = tokenizer(spark).encode(table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
     sized = documents.select("doc_id", "source", F.size("ids").alias("n_tokens"), mixture.quality_weight(F.col("text")).alias("weight"))
     return mixture.mix(sized, table(spark, folder, "source_targets"))
 
