@@ -19,7 +19,7 @@ TITLE_FACETS = {"夜市": "culture", "廟會": "culture", "保險": "society", "
 
 def _scalar(name: str, source: str, key: str, column, sql: str | None, doc: str) -> None:
     def run(spark, folder):
-        return table(spark, folder, source).select(F.col(key).alias("k"), column.alias("value"))
+        return table(spark, folder, source).select(F.col(key).alias("k"), column().alias("value"))
 
     run.__doc__ = doc
     TEXT.add(name, f"SELECT {key} AS k, {sql} AS value FROM {source}" if sql else None)(run)
@@ -29,33 +29,36 @@ def _lines(c: str) -> str:
     return f"regexp_split_to_array({q.strip(c)}, '{q.LINE_END}')"
 
 
-_C = F.col("content")
-_scalar("X01_title", "ptt_articles", "article_id", t.first_line_title(_C), f"substr({_lines('content')}[1], 1, 60)", "First line, at most 60 characters.")
-_scalar("X02_collapsed_space", "documents", "doc_id", t.collapse_space(F.col("text")), q.strip(f"regexp_replace(text, '{q.SPACE}+', ' ', 'g')"), "White space collapsed.")
-_scalar("X03_newlines", "documents", "doc_id", t.normal_newlines(F.col("text")), q.strip("regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"), "Newlines made one kind, three and more of them two.")
-_scalar("X05_tags_stripped", "tds_articles", "article_id", t.strip_tags(_C, 100), q.strip("substr(regexp_replace(content, '<[^>]+>', '', 'g'), 1, 100)"), "Without tags, cut, trimmed.")
-_scalar("X10_clean_topic", "benchmark_items", "id", t.clean_topic(F.col("title")), f"trim({q.strip('regexp_replace(' + q.strip('''replace(''' * len(t.STANCE_PHRASES) + q.strip('title') + ''.join(f''', '{p}', '')''' for p in t.STANCE_PHRASES)) + f''', '{q.SPACE}+', ' ', 'g')''')}, '，。；：、 ')", "Stance topic without 15 phrases.")
-_scalar("X13_substring_count", "tds_articles", "article_id", t.substring_count(_C, "，"), "(length(content) - length(replace(content, '，', ''))) // 1", "Occurrences of a literal.")
-_scalar("X17_error_category", "llm_responses", "id", t.error_category(F.col("error")), "CASE WHEN contains(lower(error), 'timeout') THEN 'timeout' WHEN contains(lower(error), '429') THEN 'http_429' WHEN contains(error, '5') AND contains(lower(error), 'http') THEN 'http_5xx' WHEN contains(lower(error), 'connect') THEN 'connection' WHEN contains(lower(error), 'json') AND contains(lower(error), 'decode') THEN 'parse' WHEN contains(lower(error), 'simulated transient failure') THEN 'transient' ELSE 'other' END", "First matching category.")
-_scalar("X18_approx_tokens", "documents", "doc_id", t.approx_tokens(F.col("text")), "CAST(length(text) // 4 AS INT)", "A quarter of the characters.")
-_scalar("X20_brief", "judge_scores", "id", t.brief(F.col("reasoning"), 30), "CASE WHEN length(replace(reasoning, chr(10), ' ')) > 30 THEN substr(replace(reasoning, chr(10), ' '), 1, 27) || '...' ELSE replace(reasoning, chr(10), ' ') END", "One line, cut with three dots.")
-_scalar("X21_options", "benchmark_items", "id", t.normal_option(F.col("prompt")), f"translate(prompt, '{t.FULL_WIDTH_OPTIONS[0]}', '{t.FULL_WIDTH_OPTIONS[1]}')", "Full-width options made ASCII.")
-_scalar("X24_ideographs", "documents", "doc_id", t.ideographs(F.col("text")), r"len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]'))", "Number of ideographs.")
-_scalar("X26_script_escaped", "benchmark_items", "id", t.script_escaped(F.col("prompt")), "replace(replace(replace(prompt, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')", "Escaped for a quoted script string.")
-_scalar("X27_last_line", "benchmark_items", "id", t.last_line(F.col("prompt")), q.strip(f"list_last({_lines('prompt')})"), "Last line of the prompt.")
-_scalar("F09_emoji_only", "ptt_pushes", "push_id", t.is_emoji_only(_C), q.strip(r"regexp_replace(content, '[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{200D}]+', '', 'g')") + " = ''", "Nothing but emoji.")
-_scalar("F10_excluded_title", "ptt_articles", "article_id", t.excluded_title(F.col("title")), f"regexp_matches(lower({q.strip('coalesce(title, chr(32))')}), '^(re:|fw:|\\[公告\\]|公告)')", "Replies, forwards and announcements.")
-_scalar("F15_supported_language", "documents", "doc_id", t.supported_language(F.col("text")), r"coalesce((len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))) > 0 AND len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]')) <= greatest(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')), len(regexp_extract_all(text, '[A-Za-z]'))) AND (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]'))) * 10 >= 6 * (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))), false)", "Mostly ideographs or Latin letters.")
-_scalar("F18_complete_question", "benchmark_items", "id", t.complete_question(F.col("prompt")), None, "Questions with a named subject.")
-_scalar("N02_push_sign", "ptt_pushes", "push_id", t.push_sign(F.col("tag")), f"CASE WHEN starts_with({q.strip('tag')}, '推') THEN 1 WHEN starts_with({q.strip('tag')}, '噓') THEN -1 ELSE 0 END", "+1, -1 or 0.")
-_scalar("N03_clamped_score", "judge_scores", "id", t.clamp(F.col("score"), 1, 5), "CASE WHEN score IS NOT NULL THEN greatest(least(score, 5), 1) END", "Scores within 1 and 5.")
-_scalar("N04_rounded_latency", "llm_responses", "id", F.round("latency_ms", 1), "round(latency_ms, 1)", "Rounded to one place.")
-_scalar("T1_month_of_epoch", "request_records", "request_id", F.date_format(F.timestamp_seconds(F.floor("start_ts")), "yyyyMM"), "strftime(make_timestamp(CAST(floor(start_ts) AS BIGINT) * 1000000), '%Y%m')", "Month of epoch seconds in UTC.")
-_scalar("T3_taipei_time", "documents", "doc_id", F.date_format(F.from_utc_timestamp(F.col("collected_at").cast("timestamp"), "Asia/Taipei"), "yyyy-MM-dd HH:mm"), "strftime(collected_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M')", "UTC shown in Taipei.")
-_scalar("T4_iso_time", "llm_responses", "id", F.date_format(t.iso_time(F.col("requested_at")), "yyyy-MM-dd HH:mm:ss"), "strftime(try_cast(requested_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "ISO text in UTC, null if broken.")
-_scalar("T5_month_end", "ptt_articles", "article_id", F.date_format(F.last_day("posted_at"), "yyyy-MM-dd"), "strftime(last_day(posted_at), '%Y-%m-%d')", "Last day of the month.")
-_scalar("X11_facet", "tds_articles", "article_id", t.facet(F.substring(_C, 1, 20), F.coalesce(_C, F.lit("")), TITLE_FACETS, FACETS, "society"), None, "Facet by title, then by keyword hits.")
-_scalar("X12_facet_with_own_name", "documents", "doc_id", t.facet(F.col("title"), F.coalesce(F.col("text"), F.lit("")), {}, FACETS, "culture", 2, -1), None, "Facet whose own name counts, too.")
+def _c():
+    return F.col("content")
+
+
+_scalar("X01_title", "ptt_articles", "article_id", lambda: t.first_line_title(_c()), f"substr({_lines('content')}[1], 1, 60)", "First line, at most 60 characters.")
+_scalar("X02_collapsed_space", "documents", "doc_id", lambda: t.collapse_space(F.col("text")), q.strip(f"regexp_replace(text, '{q.SPACE}+', ' ', 'g')"), "White space collapsed.")
+_scalar("X03_newlines", "documents", "doc_id", lambda: t.normal_newlines(F.col("text")), q.strip("regexp_replace(regexp_replace(text, '\\r\\n|\\r', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"), "Newlines made one kind, three and more of them two.")
+_scalar("X05_tags_stripped", "tds_articles", "article_id", lambda: t.strip_tags(_c(), 100), q.strip("substr(regexp_replace(content, '<[^>]+>', '', 'g'), 1, 100)"), "Without tags, cut, trimmed.")
+_scalar("X10_clean_topic", "benchmark_items", "id", lambda: t.clean_topic(F.col("title")), f"trim({q.strip('regexp_replace(' + q.strip('''replace(''' * len(t.STANCE_PHRASES) + q.strip('title') + ''.join(f''', '{p}', '')''' for p in t.STANCE_PHRASES)) + f''', '{q.SPACE}+', ' ', 'g')''')}, '，。；：、 ')", "Stance topic without 15 phrases.")
+_scalar("X13_substring_count", "tds_articles", "article_id", lambda: t.substring_count(_c(), "，"), "(length(content) - length(replace(content, '，', ''))) // 1", "Occurrences of a literal.")
+_scalar("X17_error_category", "llm_responses", "id", lambda: t.error_category(F.col("error")), "CASE WHEN contains(lower(error), 'timeout') THEN 'timeout' WHEN contains(lower(error), '429') THEN 'http_429' WHEN contains(error, '5') AND contains(lower(error), 'http') THEN 'http_5xx' WHEN contains(lower(error), 'connect') THEN 'connection' WHEN contains(lower(error), 'json') AND contains(lower(error), 'decode') THEN 'parse' WHEN contains(lower(error), 'simulated transient failure') THEN 'transient' ELSE 'other' END", "First matching category.")
+_scalar("X18_approx_tokens", "documents", "doc_id", lambda: t.approx_tokens(F.col("text")), "CAST(length(text) // 4 AS INT)", "A quarter of the characters.")
+_scalar("X20_brief", "judge_scores", "id", lambda: t.brief(F.col("reasoning"), 30), "CASE WHEN length(replace(reasoning, chr(10), ' ')) > 30 THEN substr(replace(reasoning, chr(10), ' '), 1, 27) || '...' ELSE replace(reasoning, chr(10), ' ') END", "One line, cut with three dots.")
+_scalar("X21_options", "benchmark_items", "id", lambda: t.normal_option(F.col("prompt")), f"translate(prompt, '{t.FULL_WIDTH_OPTIONS[0]}', '{t.FULL_WIDTH_OPTIONS[1]}')", "Full-width options made ASCII.")
+_scalar("X24_ideographs", "documents", "doc_id", lambda: t.ideographs(F.col("text")), r"len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]'))", "Number of ideographs.")
+_scalar("X26_script_escaped", "benchmark_items", "id", lambda: t.script_escaped(F.col("prompt")), "replace(replace(replace(prompt, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')", "Escaped for a quoted script string.")
+_scalar("X27_last_line", "benchmark_items", "id", lambda: t.last_line(F.col("prompt")), q.strip(f"list_last({_lines('prompt')})"), "Last line of the prompt.")
+_scalar("F09_emoji_only", "ptt_pushes", "push_id", lambda: t.is_emoji_only(_c()), q.strip(r"regexp_replace(content, '[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{200D}]+', '', 'g')") + " = ''", "Nothing but emoji.")
+_scalar("F10_excluded_title", "ptt_articles", "article_id", lambda: t.excluded_title(F.col("title")), f"regexp_matches(lower({q.strip('coalesce(title, chr(32))')}), '^(re:|fw:|\\[公告\\]|公告)')", "Replies, forwards and announcements.")
+_scalar("F15_supported_language", "documents", "doc_id", lambda: t.supported_language(F.col("text")), r"coalesce((len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))) > 0 AND len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]')) <= greatest(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')), len(regexp_extract_all(text, '[A-Za-z]'))) AND (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]'))) * 10 >= 6 * (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))), false)", "Mostly ideographs or Latin letters.")
+_scalar("F18_complete_question", "benchmark_items", "id", lambda: t.complete_question(F.col("prompt")), None, "Questions with a named subject.")
+_scalar("N02_push_sign", "ptt_pushes", "push_id", lambda: t.push_sign(F.col("tag")), f"CASE WHEN starts_with({q.strip('tag')}, '推') THEN 1 WHEN starts_with({q.strip('tag')}, '噓') THEN -1 ELSE 0 END", "+1, -1 or 0.")
+_scalar("N03_clamped_score", "judge_scores", "id", lambda: t.clamp(F.col("score"), 1, 5), "CASE WHEN score IS NOT NULL THEN greatest(least(score, 5), 1) END", "Scores within 1 and 5.")
+_scalar("N04_rounded_latency", "llm_responses", "id", lambda: F.round("latency_ms", 1), "round(latency_ms, 1)", "Rounded to one place.")
+_scalar("T1_month_of_epoch", "request_records", "request_id", lambda: F.date_format(F.timestamp_seconds(F.floor("start_ts")), "yyyyMM"), "strftime(make_timestamp(CAST(floor(start_ts) AS BIGINT) * 1000000), '%Y%m')", "Month of epoch seconds in UTC.")
+_scalar("T3_taipei_time", "documents", "doc_id", lambda: F.date_format(F.from_utc_timestamp(F.col("collected_at").cast("timestamp"), "Asia/Taipei"), "yyyy-MM-dd HH:mm"), "strftime(collected_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M')", "UTC shown in Taipei.")
+_scalar("T4_iso_time", "llm_responses", "id", lambda: F.date_format(t.iso_time(F.col("requested_at")), "yyyy-MM-dd HH:mm:ss"), "strftime(try_cast(requested_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "ISO text in UTC, null if broken.")
+_scalar("T5_month_end", "ptt_articles", "article_id", lambda: F.date_format(F.last_day("posted_at"), "yyyy-MM-dd"), "strftime(last_day(posted_at), '%Y-%m-%d')", "Last day of the month.")
+_scalar("X11_facet", "tds_articles", "article_id", lambda: t.facet(F.substring(_c(), 1, 20), F.coalesce(_c(), F.lit("")), TITLE_FACETS, FACETS, "society"), None, "Facet by title, then by keyword hits.")
+_scalar("X12_facet_with_own_name", "documents", "doc_id", lambda: t.facet(F.col("title"), F.coalesce(F.col("text"), F.lit("")), {}, FACETS, "culture", 2, -1), None, "Facet whose own name counts, too.")
 
 
 def _hits(words) -> str:
