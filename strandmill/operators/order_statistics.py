@@ -55,6 +55,7 @@ def _find(keys: list[str], rules: tuple[Rule, ...]):
 
     def find(data: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         out = []
+        blocks = blocks.rename(columns=lambda c: c.removeprefix("b_"))
         for per_period in (False, True):
             by = [*group_keys, "period"] if per_period else group_keys
             rows = data[data["period"].notna()] if per_period else data
@@ -103,7 +104,9 @@ def order_statistics(state: DataFrame, rules: Sequence[Rule], expected_rows: int
     # A window holds one row for each partition that a group touches.
     within = Window.partitionBy(*group, "period", "per_period")
     blocks = per_period.unionByName(overall).select("*", (F.sum("inside").over(within.orderBy("pid").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside")).alias("offset"), F.sum("inside").over(within).alias("total")).drop("inside")
+    # Other names, so other columns: where the sides of a cogroup share columns, the optimiser prunes those of one side.
+    blocks = blocks.select(*[F.col(c).alias(f"b_{c}") for c in blocks.columns])
     kind = ", ".join(["measure string", *[f"{k} {kinds[k]}" for k in keys], "period int", "per_period boolean", "rule int", "value double", "total long"])
-    found = placed.groupBy("pid").cogroup(blocks.groupBy("pid")).applyInPandas(_find(keys, tuple(rules)), kind)
+    found = placed.groupBy("pid").cogroup(blocks.groupBy("b_pid")).applyInPandas(_find(keys, tuple(rules)), kind)
     values = F.array(*[F.max(F.when(F.col("rule") == i, F.col("value"))) for i in range(len(rules))])
     return found.groupBy(*group, "per_period", "period", "total").agg(values.alias("values"))

@@ -72,7 +72,7 @@ def questions(text: str | None) -> list[dict]:
 
 
 _VALID = set("ABCD1234")
-_ROW_NUMBERS, _ROW_ANSWERS = re.compile(r"題號\s*((?:\d{1,3}\s+)*\d{1,3})"), re.compile(r"答案\s*((?:[A-Da-dＡ-Ｄ１-４1-4]\s+)*[A-Da-dＡ-Ｄ１-４1-4])")
+_ROW_NUMBERS, _ROW_ANSWERS = re.compile(r"題號\s*((?:\d{1,3}\s+)*\d{1,3})"), re.compile(r"答案\s*((?:[A-Da-dＡ-Ｄａ-ｄ１-４1-4]\s+)*[A-Da-dＡ-Ｄａ-ｄ１-４1-4])")
 _DOTTED, _SPACED = re.compile(r"(\d{1,3})\s*[.．、:：]\s*[（(]?\s*([A-Da-dＡ-Ｄ１-４1-4])(?![A-Za-z0-9])"), re.compile(r"(?<!\d)(\d{1,3})[ \t]+([A-Da-dＡ-Ｄ])(?![A-Za-z0-9])")
 _LETTERS = re.compile(r"^\s*((?:[A-Da-dＡ-Ｄ][ \t]+){4,}[A-Da-dＡ-Ｄ])\s*$", re.M)
 
@@ -107,10 +107,13 @@ class _Tree(HTMLParser):
         self.open: list[tuple[str, str]] = []
         self.links: list[tuple[str, str]] = []
         self.texts: list[tuple[tuple[str, ...], str, str]] = []
+        self.starts: list[int] = []
         self._href: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
+        if a.get("class") == "r-ent":
+            self.starts.append(len(self.texts))
         if tag not in self.VOID:
             self.open.append((tag, a.get("class") or a.get("id") or ""))
         if tag == "a":
@@ -150,21 +153,17 @@ def links(html: str | None) -> list[tuple[str, str]]:
 
 def board_index(html: str | None) -> list[dict]:
     """Title, href, author, date, pushes of a board page's entries; an entry begins at an element of class r-ent."""
-    entries: list[dict] = []
-    depth = -1
+    tree = _parsed(html or "")
     names = {"title": "title", "author": "author", "date": "date", "nrec": "pushes"}
-    for classes, href, data in _parsed(html or "").texts:
-        if "r-ent" not in classes:
-            depth = -1
-            continue
-        own = next((names[c] for c in reversed(classes) if c in names), None)
-        if depth < 0 or own == "pushes" and entries and (entries[-1]["title"] or entries[-1]["author"]):
-            entries.append({"title": "", "href": "", "author": "", "date": "", "pushes": ""})
-            depth = len(classes)
-        if own:
-            entries[-1][own] += data.strip()
-            if own == "title" and href:
-                entries[-1]["href"] = href
+    entries: list[dict] = []
+    for begin, end in zip(tree.starts, [*tree.starts[1:], len(tree.texts)]):
+        entry = {"title": "", "href": "", "author": "", "date": "", "pushes": ""}
+        for classes, href, data in tree.texts[begin:end]:
+            own = next((names[c] for c in reversed(classes) if c in names), None) if "r-ent" in classes else None
+            if own:
+                entry[own] += data.strip()
+                entry["href"] = href if own == "title" and href else entry["href"]
+        entries.append(entry)
     return [e for e in entries if e["title"]]
 
 

@@ -17,7 +17,7 @@ def value(spark, x, f, kind="string"):
         (t.strip_markdown, "---\nx: 1\n---\n# A <b>c</b>", "# A c"),
         (lambda c: t.strip_tags(c, 4), "<p>ab cd", "ab c"),
         (t.article_body, "作者 x\n一\n二\n--\n簽名", "一\n二"),
-        (t.clean_question, "根據文章，誰在文中出現？", "誰出現？"),
+        (t.clean_question, "根據文章，誰在文中出現？", "誰在出現？"),
         (t.clean_topic, "作者對「核電」的看法，", "「核電」的"),
         (t.error_category, "HTTP 503", "http_5xx"),
         (t.error_category, "Timeout 429", "timeout"),
