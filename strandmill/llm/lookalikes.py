@@ -71,9 +71,11 @@ def candidate() -> str:
     invisible = r"\x{AD}\x{34F}\x{61C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{FFF9}-\x{FFFB}\x{1D173}-\x{1D17A}\x{E0001}-\x{E007F}\x{E0100}-\x{E01EF}"
     # Marks, conjoining jamo and characters with a canonical decomposition to one character.
     composing = r"\p{M}\x{1100}-\x{11FF}\x{37E}\x{387}\x{1F00}-\x{1FFF}\x{2126}\x{212A}\x{212B}\x{2329}\x{232A}\x{2ADC}\x{FB1D}-\x{FB4E}\x{374}"
-    greek = r"\x{370}-\x{3FF}\x{400}-\x{52F}"
+    greek = r"\x{370}-\x{52F}"
     latin = r"A-Za-z\x{C0}-\x{24F}\x{1E00}-\x{1EFF}"
-    return f"[{own}{spaces}{invisible}{composing}]|[{greek}][{latin}]|[{latin}][{greek}]"
+    # Intersections are tested from the left: ASCII and ordinary CJK text is through after a few comparisons.
+    ordinary = r"\x{3001}-\x{303F}\x{3041}-\x{3096}\x{309B}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF1F}"
+    return f"[\\x{{80}}-\\x{{10FFFF}}&&[^{ordinary}]&&[{own}{spaces}{invisible}{composing}]]|[{greek}](?:(?=[{latin}])|(?<=[{latin}][{greek}]))"
 
 
 CANDIDATE = candidate()
