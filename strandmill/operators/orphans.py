@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandmill.functions.keys import comparable_key
 
 #: Parent keys to a range (an array of so many digests, keys and times is a few MB) and references to one probe.
-KEYS_PER_RANGE, REFERENCES_PER_PROBE = 40_000, 250_000
+KEYS_PER_RANGE, REFERENCES_PER_PROBE = 5_000, 100_000
 MAX_RANGES = 1 << 20
 
 FOUND, DELETED = 1, 2
