@@ -98,8 +98,10 @@ def facet(title: Column, text: Column, title_map: dict[str, str], keywords: dict
     """
     lower = F.lower(text)
     scores = [sum((substring_count(lower, k.lower()) for k in words), F.lit(0)) + F.when(F.contains(lower, F.lit(label.lower())), own_name_bonus).otherwise(0) for label, words in keywords.items()]
-    best = F.greatest(*scores, F.lit(floor))
-    by_hits = F.coalesce(*[F.when((s == best) & (s > floor), F.lit(label)) for label, s in zip(keywords, scores)], F.lit(default))
+    labels = F.array(*map(F.lit, keywords))
+    # A lambda's variable holds the scores, so each is counted once.
+    pick = lambda a: F.when(F.array_max(a) > floor, F.element_at(labels, F.array_position(a, F.array_max(a)).cast("int"))).otherwise(F.lit(default))
+    by_hits = F.get(F.transform(F.array(F.array(*scores)), pick), F.lit(0))
     by_title = F.coalesce(*[F.when(F.contains(title, F.lit(p)), F.lit(a)) for p, a in title_map.items()], F.lit(None).cast("string")) if title_map else F.lit(None).cast("string")
     return F.coalesce(by_title, F.when(F.coalesce(strip(lower), F.lit("")) == "", F.lit(default)).otherwise(by_hits))
 
