@@ -228,5 +228,5 @@ def first_option(c: Column) -> Column:
 
 
 def first_truth(c: Column) -> Column:
-    """The first TRUE or FALSE that stands alone; '' if there is none."""
-    return F.regexp_extract(F.upper(c), r"(?U)\b(TRUE|FALSE)\b", 1)
+    """The first TRUE or FALSE without a letter, digit or underscore of any script beside it; '' if there is none."""
+    return F.regexp_extract(F.upper(c), r"(?<![\p{L}\p{N}_])(TRUE|FALSE)(?![\p{L}\p{N}_])", 1)

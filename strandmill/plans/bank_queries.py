@@ -70,10 +70,8 @@ def j14(spark, folder):
 @BANK.add("U01_true_false_scores", f"""WITH {q.RESULTS}, t AS (SELECT id, upper({q.strip(q.json_text('reference_answer', 'answer'))}) AS ok, regexp_extract(upper(coalesce(nullif(response_text, ''), error, '')), '\\b(TRUE|FALSE)\\b', 1) AS said, task_type, response_text, error FROM results)
 SELECT id, CASE WHEN task_type = 'true_false' AND ok IN ('TRUE', 'FALSE') THEN CASE WHEN said = ok THEN 5 ELSE 1 END END AS rule_score FROM t WHERE NOT regexp_matches(upper(coalesce(nullif(response_text, ''), error, '')), '[^ -~](TRUE|FALSE)|(TRUE|FALSE)[^ -~]')""")
 def u01(spark, folder):
-    """Responses with the words next to a letter of another script are left to the unit tests: engines differ in word boundaries there."""
-    r = results(spark, folder)
-    said = F.upper(F.coalesce(F.nullif(F.col("response_text"), F.lit("")), F.col("error"), F.lit("")))
-    return r.filter(~said.rlike("[^ -~](TRUE|FALSE)|(TRUE|FALSE)[^ -~]")).select("id", b.rule_score_true_false(F.col("task_type"), F.col("reference_answer"), F.col("response_text"), F.col("error")).alias("rule_score"))
+    """Every response; the SQL above still leaves out words beside other scripts' characters, so it has fewer rows."""
+    return results(spark, folder).select("id", b.rule_score_true_false(F.col("task_type"), F.col("reference_answer"), F.col("response_text"), F.col("error")).alias("rule_score"))
 
 
 @BANK.add("U02_choice_scores")
