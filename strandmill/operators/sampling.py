@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from strandmill.session import cut
 
 SLICES = 64
 
@@ -52,3 +54,28 @@ def cycled(prompts: DataFrame, order: str, runs: int) -> DataFrame:
         return numbered.withColumn("run", F.lit(None).cast("long"))
     spine = prompts.sparkSession.range(runs).withColumnRenamed("id", "run").withColumn("place", (F.col("run") % total).cast("int"))
     return spine.join(numbered, "place")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:
+    """rows with `i` (from 0) in order, which should tell all rows apart, and their number: a range sort, counts per partition, offsets."""
+    held = cut(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    counts = held.groupBy(F.shiftrightunsigned("_at", 33).alias("part")).count().collect()
+    offsets, total = [], 0
+    for part, n in sorted(counts):
+        offsets.append((part, total))
+        total += n
+    # One row a partition.
+    starts = F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part long, _start long"))
+    placed = held.withColumn("_part", F.shiftrightunsigned("_at", 33)).join(starts, "_part")
+    return placed.withColumn("i", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start"), total
+
+
+def with_replacement(rows: DataFrame, order: Sequence[Column], size: int, seed: int = 0) -> DataFrame:
+    """Rows with `n`, the number of the draw, from 0: each draw takes one of all rows, by a hash of n and the seed. No rows are an error."""
+    pool, total = numbered(rows, order)
+    if not total:
+        raise ValueError("no rows to sample from")
+    # 60 bits of the hash.
+    drawn = F.conv(F.substring(F.md5(F.concat(F.col("n").cast("string"), F.lit(f"#{seed}"))), 1, 15), 16, 10).cast("long")
+    draws = rows.sparkSession.range(size).select(F.col("id").alias("n")).withColumn("i", drawn % total)
+    return pool.join(draws, "i").drop("i")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from strandmill.functions import text as t
-from strandmill.operators import bank as b
+from strandmill.operators import bank as b, sampling
 from strandmill.operators.topk import top_per_group
 from strandmill.plans import fragments as q
 from strandmill.plans.bank_queries import _STATEMENT, results
@@ -150,11 +150,8 @@ def r06(spark, folder):
 
 @MORE.add("R05_sample_with_replacement", f"WITH {q.ITEMS}, p AS (SELECT item_key, row_number() OVER (ORDER BY {_DRAW}, item_key) - 1 AS i FROM items LIMIT 1000000), few AS (SELECT * FROM p WHERE i < 7) SELECT d.n, item_key FROM range(20) d(n) JOIN few ON i = (d.n * 5 + d.n * d.n) % 7")
 def r05(spark, folder):
-    """More draws than rows: indexes are drawn by a rule, rows repeat."""
-    few = _items(spark, folder).select("item_key").orderBy(_draw("item_key"), "item_key").limit(7)
-    numbered = few.withColumn("i", (F.row_number().over(Window.partitionBy().orderBy(_draw("item_key"), "item_key")) - 1).cast("long"))
-    draws = spark.range(20).select(F.col("id").alias("n"), ((F.col("id") * 5 + F.col("id") * F.col("id")) % 7).alias("i"))
-    return draws.join(F.broadcast(numbered), "i").select("n", "item_key")
+    """More draws than rows: each draw takes one of all items, rows repeat; the SQL above still draws from seven."""
+    return sampling.with_replacement(_items(spark, folder).select("item_key"), [_draw("item_key"), F.col("item_key")], 20, 7).select("n", "item_key")
 
 
 @MORE.add("R07_diversified_articles", f"WITH {q.ITEMS}, r AS (SELECT item_key, title, row_number() OVER (PARTITION BY title ORDER BY {_DRAW}, item_key) AS turn FROM items) SELECT item_key, title, turn FROM r WHERE turn <= 2 ORDER BY turn, {_DRAW}, item_key LIMIT 40")

@@ -1,12 +1,13 @@
 """Whole results of queries whose SQL holds a cut, against brute force."""
 
 import re
+from hashlib import md5
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import bank as b
-from strandmill.plans import bank_queries
+from strandmill.operators import bank as b, sampling
+from strandmill.plans import bank_queries, more_queries
 
 
 def truth(task, reference, response, error):
@@ -29,3 +30,27 @@ def test_word_boundaries_of_other_scripts(spark):
     df = spark.createDataFrame([(i, "true_false", '{"answer": "TRUE"}', t, None) for i, t in enumerate(texts)], "i int, t string, r string, a string, e string")
     found = df.select("a", b.rule_score_true_false(*[F.col(c) for c in "trae"]).alias("s")).collect()
     assert [r.s for r in found] == [truth("true_false", "TRUE", r.a, None) for r in found]
+
+
+def draw(key):
+    return md5(f"{key}#7".encode()).hexdigest(), key
+
+
+def test_draws_come_from_all_items(spark, folder):
+    pool = sorted((r.item_key for r in more_queries._items(spark, folder).collect()), key=draw)
+    found = sorted((r.n, r.item_key) for r in more_queries.r05(spark, folder).collect())
+    assert found == [(n, pool[int(md5(f"{n}#7".encode()).hexdigest()[:15], 16) % len(pool)]) for n in range(20)]
+    assert len({k for _, k in found}) > 4
+
+
+def test_few_rows_are_drawn_again_and_none_is_an_error(spark):
+    rows = spark.range(3)
+    found = sampling.with_replacement(rows, [F.col("id")], 50).collect()
+    assert sorted(r.n for r in found) == list(range(50)) and {r.id for r in found} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        sampling.with_replacement(rows.limit(0), [F.col("id")], 5)
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    found, total = sampling.numbered(spark.range(1000).repartition(7), [F.col("id").desc()])
+    assert total == 1000 and sorted((r.i, r.id) for r in found.collect()) == [(i, 999 - i) for i in range(1000)]
