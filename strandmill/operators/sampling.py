@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from strandmill.session import cut
 
@@ -79,3 +79,15 @@ def with_replacement(rows: DataFrame, order: Sequence[Column], size: int, seed:
     drawn = F.conv(F.substring(F.md5(F.concat(F.col("n").cast("string"), F.lit(f"#{seed}"))), 1, 15), 16, 10).cast("long")
     draws = rows.sparkSession.range(size).select(F.col("id").alias("n")).withColumn("i", drawn % total)
     return pool.join(draws, "i").drop("i")
+
+
+def declustered(rows: Sequence[Row]) -> list[Row]:
+    """The rows (title, prefix, ...) in an order in which neighbours differ in title and prefix, else in prefix, else in title: always the first row that can follow."""
+    left, out = list(rows), []
+    title = prefix = ""
+    while left:
+        tests = (lambda r: r.title != title and r.prefix != prefix, lambda r: r.prefix != prefix, lambda r: r.title != title)
+        at = next((i for t in tests for i, r in enumerate(left) if t(r)), 0)
+        out.append(left.pop(at))
+        title, prefix = out[-1].title, out[-1].prefix
+    return out

@@ -156,11 +156,17 @@ def r05(spark, folder):
 
 @MORE.add("R07_diversified_articles", f"WITH {q.ITEMS}, r AS (SELECT item_key, title, row_number() OVER (PARTITION BY title ORDER BY {_DRAW}, item_key) AS turn FROM items) SELECT item_key, title, turn FROM r WHERE turn <= 2 ORDER BY turn, {_DRAW}, item_key LIMIT 40")
 def r07(spark, folder):
-    """At most two a title, titles in turn."""
-    i = _items(spark, folder).select("item_key", "title")
-    few = top_per_group(i, ["title"], [_draw("item_key"), F.col("item_key")], 2, "item_key")
-    turn = F.row_number().over(Window.partitionBy("title").orderBy(_draw("item_key"), "item_key"))
-    return few.withColumn("turn", turn).orderBy("turn", _draw("item_key"), "item_key").limit(40)
+    """At most a tenth of n a title, titles in turn, neighbours of different titles and statements; the SQL above takes two a title."""
+    n = 40
+    cap = max(1, n // 10)
+    i = _items(spark, folder).select("item_key", "title", F.coalesce(F.nullif("title", F.lit("")), F.lit("__unknown__")).alias("bucket"), F.substring(F.coalesce(b.statement(F.col("reference_answer")), F.lit("")), 1, 3).alias("prefix"))
+    few = top_per_group(i, ["bucket"], [_draw("item_key"), F.col("item_key")], cap, "item_key")
+    bucket = Window.partitionBy("bucket").orderBy(_draw("item_key"), "item_key")
+    # Titles follow each other by their first items' draws in every turn.
+    turns = few.withColumn("turn", F.row_number().over(bucket)).withColumn("first_key", F.first("item_key").over(bucket))
+    pool = turns.orderBy("turn", _draw("first_key"), "first_key").limit(n)
+    rows = [(r.item_key, r.title, r.turn) for r in sampling.declustered(pool.collect())]
+    return spark.createDataFrame(rows, "item_key string, title string, turn int").coalesce(1)
 
 
 @MORE.add("U11_prompts_of_templates", f"WITH {q.ITEMS} SELECT item_key, CASE lower(task_type) WHEN 'qa' THEN '請回答：' || prompt WHEN 'true_false' THEN '判斷對錯：' || prompt ELSE '任務：' || prompt END AS filled FROM items")

@@ -4,7 +4,7 @@ import re
 from hashlib import md5
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from strandmill.operators import bank as b, sampling
 from strandmill.plans import bank_queries, more_queries
@@ -54,3 +54,39 @@ def test_few_rows_are_drawn_again_and_none_is_an_error(spark):
 def test_numbers_follow_the_order_over_partitions(spark):
     found, total = sampling.numbered(spark.range(1000).repartition(7), [F.col("id").desc()])
     assert total == 1000 and sorted((r.i, r.id) for r in found.collect()) == [(i, 999 - i) for i in range(1000)]
+
+
+def articles(rows, n):
+    """R07 in plain Python: rows of (key, title, prefix)."""
+    titles = {}
+    for r in sorted(rows, key=lambda r: draw(r[0])):
+        titles.setdefault(r[1] or "__unknown__", []).append(r)
+    groups = sorted((g[: max(1, n // 10)] for g in titles.values()), key=lambda g: draw(g[0][0]))
+    pool = [(*g[t], t + 1) for t in range(max(1, n // 10)) for g in groups if t < len(g)][:n]
+    out, last = [], ("", "")
+    while pool:
+        for test in (lambda r: r[1] != last[0] and r[2] != last[1], lambda r: r[2] != last[1], lambda r: r[1] != last[0], lambda r: True):
+            if fit := next((r for r in pool if test(r)), None):
+                break
+        pool.remove(fit)
+        out.append((fit[0], fit[1], fit[3]))
+        last = fit[1], fit[2]
+    return out
+
+
+def test_articles_have_a_tenth_a_title_and_are_declustered(spark, folder, monkeypatch):
+    few = [(f"k{i}", ("a", "b", "c", None)[i % 4], f'{{"statement": "{"xxxxyzw"[i % 7]}bcd{i}"}}' if i % 5 else "no JSON") for i in range(60)]
+    schema = "item_key string, title string, reference_answer string"
+    monkeypatch.setattr(more_queries, "_items", lambda *_: spark.createDataFrame(few, schema))
+    found = [tuple(r) for r in more_queries.r07(spark, folder).collect()]
+    assert len(found) == 16 and found == articles([(k, t, f"{a[15]}bc" if a[0] == "{" else "") for k, t, a in few], 40)
+
+
+def test_articles_of_the_tables(spark, folder):
+    rows = [tuple(r) for r in more_queries._items(spark, folder).select("item_key", "title", F.substring(F.coalesce(b.statement(F.col("reference_answer")), F.lit("")), 1, 3)).collect()]
+    assert [tuple(r) for r in more_queries.r07(spark, folder).collect()] == articles(rows, 40)
+
+
+def test_no_neighbours_of_a_kind_where_others_are_left():
+    rows = [Row(title=t, prefix=p) for t, p in (("a", "x"), ("a", "y"), ("b", "x"), ("b", "y"))]
+    assert [(r.title, r.prefix) for r in sampling.declustered(rows)] == [("a", "x"), ("b", "y"), ("b", "x"), ("a", "y")]
