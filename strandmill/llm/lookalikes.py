@@ -14,7 +14,8 @@ Cyrillic letters only in words that also hold a Latin letter (to the script of m
 variation selectors only outside emoji, and full-width punctuation, U+3000 and line breaks never.
 
 Only texts with a character that can be a disguise go to Python (`CANDIDATE`, a test in the JVM); for all others the
-consistent form is the text.
+consistent form is the text. Greek and Cyrillic letters carry their accents over: they are decomposed for the table.
+`find_disguised` computes no skeletons: a row is found by the classes of its characters and the scripts of its words.
 
 Defined results: null stays null with no kinds; empty text stays empty. Ties and repeated rows are ordinary. The forms are
 idempotent. Very long texts are handled whole.
@@ -89,8 +90,10 @@ _KANA = re.compile("[ｦ-ﾟ]+")
 _SPACE = re.compile(f"[{_SPACES}]")
 _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _ACCENTED = re.compile("[^\\W\\d_][̀-ͯ]")
-_WORD = re.compile("[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f\u0370-\u052f]+")
-_CROSSING = re.compile("[\u0370-\u052f]")
+_WORD = re.compile("[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f\u0370-\u052f\u1f00-\u1fff]+")
+_CROSSING = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
+#: The same for the JVM.
+CROSSING = r"[\x{370}-\x{52F}\x{1F00}-\x{1FFF}]"
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _TO_LATIN = str.maketrans(CROSS_SCRIPT)
 _TO_CYRILLIC = str.maketrans({b: a for a, b in reversed(_CYRILLIC.items()) if b.isalpha() and a != "ӏ" and b not in "bnrhsijdqwvl"})
@@ -131,6 +134,11 @@ def _hide(text: str) -> tuple[str, bool]:
     return _HIDDEN.sub(put, text), changed
 
 
+def _mapped(text: str, table: dict[int, str]) -> str:
+    """Every letter's prototype under its own accents: decompose, map, compose."""
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(table))
+
+
 def _one_script(m: re.Match) -> str:
     """A word of one script: that of most letters, Latin if even or where a letter has no look-alike."""
     word = m.group()
@@ -139,10 +147,10 @@ def _one_script(m: re.Match) -> str:
     latin = len(_LATIN.findall(word))
     letters = sum(c.isalpha() for c in word)
     if latin * 2 < letters:
-        other = word.translate(_TO_GREEK if sum("Ͱ" <= c < "Ѐ" for c in word) * 2 > letters - latin else _TO_CYRILLIC)
+        other = _mapped(word, _TO_GREEK if sum("Ͱ" <= c < "Ѐ" or "\u1f00" <= c < "\u2000" for c in word) * 2 > letters - latin else _TO_CYRILLIC)
         if not _LATIN.search(other):
             return other
-    return word.translate(_TO_LATIN)
+    return _mapped(word, _TO_LATIN)
 
 
 def consistent(text: str) -> tuple[str, list[str]]:
@@ -182,9 +190,16 @@ def with_forms(rows: DataFrame, text: str, form: str = "form", kinds: str = "kin
     return done.withColumn(form, consistent_form).withColumn(skeleton, skeleton_of(F.col(form))).withColumn(kinds, F.coalesce(F.col(f"{kinds}.kinds"), F.array().cast("array<string>")))
 
 
+def _skeletons(forms: pd.Series) -> pd.Series:
+    return forms.map(lambda t: t if t is None else _mapped(t, _TO_LATIN))
+
+
 def skeleton_of(form: Column) -> Column:
-    """The skeleton of a consistent form: Greek and Cyrillic letters, too, become the Latin ones that they look like."""
-    return F.translate(form, "".join(CROSS_SCRIPT), "".join(CROSS_SCRIPT.values()))
+    """The skeleton of a consistent form: Greek and Cyrillic letters, with or without accents, too, become the Latin ones that they look like.
+
+    A consistent form is composed, so one without such letters is its own skeleton and stays in the JVM.
+    """
+    return F.coalesce(F.pandas_udf(_skeletons, "string")(F.when(form.rlike(CROSSING), form)), form)
 
 
 def find_disguised(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -28,3 +28,16 @@ def test_operators(spark):
     forms = {r.k: (r.f, list(r.kinds)) for r in with_forms(df.drop("form"), "t", "f").collect()}
     assert forms[1] == ("paypal", []) and forms[2][0] == "paypal" and forms[4] == (None, []) and forms[5] == ("", [])
     assert find_disguised(df.limit(0), "k", "t").count() == look_alike_groups(df.limit(0), "k", "t").count() == 0
+
+
+@pytest.mark.parametrize("text,form", [("na\u0457ve", "naïve"), ("Zo\u0451", "Zoë"), ("f\u03ccrm", "fórm"), ("\u0453adio", "ŕadio"), ("т\u0451мaя", "т\u0451мая"), ("\u0388xample", "Éxample")])
+def test_accented_letters_take_the_script_of_their_word(text, form):
+    assert consistent(text) == (form, ["mixed scripts"]) and consistent(form) == (form, [])
+
+
+def test_accented_letters_share_a_skeleton(spark):
+    texts = ["Zoë", "Zo\u0451", "\u0396o\u0435\u0308", "Zoe\u0308", "Zoe", "\u03cc", "ó", "\u1f79", "\u041e\u0301", "\u0457", "ï", "\u0439"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    skeletons = {r.k: r.skeleton for r in with_forms(df, "t").collect()}
+    assert [skeletons[i] for i in range(len(texts))] == ["Zoë"] * 4 + ["Zoe", "ó", "ó", "ó", "Ó", "ï", "ï", "\u0439"]
+    assert sorted(r.n_originals for r in look_alike_groups(df, "k", "t").collect()) == [2, 3, 4]
