@@ -4,10 +4,10 @@
    with the corpus). Texts with an outright sign of damage (a replacement character, a C1 control, an accented letter
    before a Latin-1 symbol) are left out of the counts, or damage would look ordinary where it is frequent.
 2. Each pair of a text is scored by its share of the corpus' mutual information, p(xy) * log(p(xy) / (p(x) p(y))): v > 0
-   for an improbable pair, v < 0 for a usual one. Maximum-scoring segments of v are the improbable runs.
+   for an improbable pair, v < 0 for a usual one. All maximal scoring segments of v are the improbable runs.
 3. Inverse mappings (encode with the wrong encoding, decode with the right one) are tested inside these runs only. One
-   is taken if it decodes strictly and what it gives is usual by the same statistics. It is tried again on its result,
-   for text that was decoded wrongly twice.
+   is taken if it decodes strictly and what it gives is usual by the same statistics. It is tried again on its result
+   until none applies, for text that was decoded wrongly several times.
 
 A text is a case if it holds a replacement character, a run with C1 controls, or a run with an inverse mapping.
 
@@ -136,8 +136,30 @@ def pair_statistics(texts: DataFrame, text: str = "text", bits: int = BITS) -> S
     return out
 
 
+def maximal_segments(v: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score) of v, by Ruzzo and Tompa, in linear time."""
+    # Start, end, sum before, sum at the end, the nearest earlier one with a lesser sum before.
+    held: list[tuple[int, int, float, float, int]] = []
+    total = 0.0
+    for i, x in enumerate(v):
+        start, before, total = i, total, total + x
+        if x <= 0:
+            continue
+        j = len(held) - 1
+        while True:
+            while j >= 0 and held[j][2] >= before:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= total:
+                held.append((start, i + 1, before, total, j))
+                break
+            start, before, last = held[j][0], held[j][2], held[j][4]
+            del held[j:]
+            j = last
+    return [(a, b, right - left) for a, b, left, right, _ in held]
+
+
 def improbable_runs(texts: list[str], stats: Statistics) -> list[list[tuple[int, int]]]:
-    """Of each text: spans of maximum-scoring segments with at least the score LEAST."""
+    """Of each text: spans of all maximal scoring segments with at least the score LEAST."""
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     for part in _chunks(texts):
         lengths = np.array([len(texts[i]) for i in part])
@@ -162,6 +184,12 @@ def improbable_runs(texts: list[str], stats: Statistics) -> list[list[tuple[int,
             top = a + int(np.argmax(above[a : b + 1]))  # pairs a-1 .. top-1
             i = int(np.searchsorted(starts, a - 1, "right")) - 1
             found[part[i]].append((int(a - 1 - starts[i]), int(min(top + 1 - starts[i], lengths[i]))))
+            # A stretch's first segment ends at its peak; what follows can hold others.
+            rest = total[top : b + 1]
+            if len(rest) > 1 and (rest - np.minimum.accumulate(rest)).max() >= LEAST:
+                for start, end, score in maximal_segments(v[top:b].tolist()):
+                    if score >= LEAST:
+                        found[part[i]].append((int(top + start - starts[i]), int(min(top + end + 1 - starts[i], lengths[i]))))
     return found
 
 
@@ -232,10 +260,8 @@ def examine(text: str, runs: list[tuple[int, int]], stats: Statistics) -> tuple[
     """Whether a text is garbled, its restored form (null if something is lost) and the mappings that were undone."""
     lost = "�" in text
     runs = [*runs, *((m.start(), m.end()) for m in _HARD.finditer(text))]
-    now, path = text, []
-    for _ in range(3):
-        if not runs:
-            break
+    now, path, seen = text, [], {text}
+    while runs:
         # First the mappings of whole spans: bytes of other encodings can hold what looks like a sequence of UTF-8.
         step, how = _spans(now, _WESTERN_SPAN, runs, _WESTERN_ENCODERS, _WESTERN_RIGHT, stats, 4)
         if not how:
@@ -244,10 +270,12 @@ def examine(text: str, runs: list[tuple[int, int]], stats: Statistics) -> tuple[
             step, how = _spans(now, _WIDE_SPAN, runs, _SINGLE_ENCODERS, ("utf-8",), stats, 2)
         if not how and "�" not in now:
             step, how = _spans(now, _WIDE_SPAN, runs, _WIDE_ENCODERS, _WIDE_RIGHT, stats, 4)
-        if not how:
+        # A text that was there before would be mapped in circles.
+        if not how or step in seen:
             break
         path.append(how)
         now = step
+        seen.add(now)
         runs = improbable_runs([now], stats)[0] + [(m.start(), m.end()) for m in _HARD.finditer(now)]
     garbled = lost or bool(path) or bool(_CONTROL.search(text))
     whole = garbled and bool(path) and not lost and not _HARD.search(now)

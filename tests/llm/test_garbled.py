@@ -1,6 +1,9 @@
+import random
+
+import numpy as np
 import pytest
 
-from strandmill.llm.garbled import find_garbled
+from strandmill.llm.garbled import LEAST, find_garbled, improbable_runs, maximal_segments
 
 CLEAN = ["今天的天氣很好，我們去公園散步，孩子們在草地上跑來跑去。", "圖書館在車站旁邊，每天早上九點開門，晚上八點關門。", "The library near the station opens at nine every morning.", "Après l'été, la forêt où l'âge importe peu reste très appréciée.", "El año pasado la película llegó después del otoño.", "Сегодня хорошая погода, и мы гуляем в парке.", "오늘은 날씨가 좋아서 공원에 갔습니다.", "東京の図書館は九時に開きます。", "«Très» dit-elle… l’été 😀 ❤️", ""]
 
@@ -36,3 +39,42 @@ def test_empty_blank_long_and_repeated(spark, corpus):
     long = CLEAN[0] * 20_000
     more = df.filter("k < 1000").unionByName(spark.createDataFrame([(1, long, "x"), (2, long[:500_000] + wrong(CLEAN[1]), "x"), (3, " \n", "x"), (4, "�", "x"), (4, "�", "x"), (None, "�", "x")], df.schema))
     assert sorted(str(r.k) for r in find_garbled(more, "k").collect()) == ["2", "4", "4", "None"]
+
+
+class Scores:
+    def __init__(self, v):
+        self.v = np.array(v, np.float32)
+
+    def improbable(self, points):
+        return np.resize(self.v, len(points) - 1)
+
+
+def by_definition(v, at=0):
+    """Maximal scoring segments: the best (the shortest of equals), then those at its left and right."""
+    best = max(((round(sum(v[a:b]), 6), a - b, -a) for a in range(len(v)) for b in range(a + 1, len(v) + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return [*by_definition(v[:a], at), (at + a, at + b, best[0]), *by_definition(v[b:], at + b)]
+
+
+def test_all_maximal_segments():
+    r = random.Random(5)
+    for _ in range(150):
+        v = [r.randint(-200_000, 200_000) / 100_000 for _ in range(r.randint(1, 25))]
+        assert [(a, b, round(s, 6)) for a, b, s in maximal_segments(v)] == by_definition(v)
+
+
+def test_later_segments_of_a_stretch_are_runs():
+    v = [-1.0] + [2.0] * 5 + [-2.0] * 3 + [2.0] * 2 + [-1.0]
+    assert improbable_runs(["x" * (len(v) + 1)], Scores(v)) == [[(1, 7), (9, 12)]]
+    r = random.Random(6)
+    for _ in range(100):
+        v = [r.randint(-200_000, 200_000) / 100_000 for _ in range(30)]
+        assert sorted(improbable_runs(["x" * 31], Scores(v))[0]) == [(a, b + 1) for a, b, s in by_definition(v) if s >= LEAST]
+
+
+def test_text_that_was_decoded_wrongly_four_times(spark):
+    four = wrong(wrong(wrong(wrong(CLEAN[1]))))
+    df = spark.createDataFrame([*[(i, CLEAN[i % len(CLEAN)]) for i in range(400)], (1000, four)], "k long, text string")
+    assert [(r.k, r.restored) for r in find_garbled(df, "k").collect()] == [(1000, CLEAN[1])]
