@@ -166,18 +166,21 @@ def p1_defects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pii_tables(spark: SparkSession, folder: str):
-    return (
+    """The tables, and one model with the words of all their texts."""
+    tables = (
         ("documents", table(spark, folder, "documents"), "doc_id", "text"),
         ("ptt_articles", table(spark, folder, "ptt_articles"), "article_id", "content"),
         ("ptt_pushes", table(spark, folder, "ptt_pushes"), "push_id", "content"),
     )
+    model = pii.model_for([rows.select(F.col(text).alias("text")) for _, rows, _, text in tables])
+    return [(*t, model) for t in tables]
 
 
 @LLM.add("p6_found")
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     out = None
-    for name, rows, key, text in _pii_tables(spark, folder):
-        found = pii.find_kinds(rows, key, text).select(F.lit(name).alias("table_name"), "record_id", "pii_kind")
+    for name, rows, key, text, model in _pii_tables(spark, folder):
+        found = pii.find_kinds(rows, key, text, model).select(F.lit(name).alias("table_name"), "record_id", "pii_kind")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -186,7 +189,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The text of every record with placeholders, and the kinds that were replaced."""
     out = None
-    for name, rows, key, text in _pii_tables(spark, folder):
-        found = pii.redact(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "redacted", "kinds")
+    for name, rows, key, text, model in _pii_tables(spark, folder):
+        found = pii.redact(rows, key, text, model).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "redacted", "kinds")
         out = found if out is None else out.unionByName(found)
     return out
