@@ -6,9 +6,10 @@ pair has a rank. The rank map is a literal of two arrays, laid out by hash-and-d
 reads (Spark's map type would be searched from end to end). There is no shuffle, no Python worker and no broadcast; the
 literals' size is that of the tokenizer.
 
-Words are folded once for each text in which they occur. A run of ideographs is cut further, wherever no token of the
-vocabulary holds the bytes at both sides of the cut, so merges never cross it and the ids stay the same; nearly all such
-pieces are single ideographs, whose ids are themselves a literal, folded once from the 20,992 code points.
+A run of ideographs is cut further, wherever no token of the vocabulary holds the bytes at both sides of the cut, so merges
+never cross it and the ids stay the same; nearly all such pieces are single ideographs, whose ids are themselves a literal,
+folded once from the 20,992 code points. Words that are tokens are looked up, too; all others are folded once for each text
+in which they occur.
 
 Defined results: null and empty texts have the empty list; blank texts are encoded as they are. Strings of special
 tokens in a text are ordinary text. `decode` gives the text back; ids outside the vocabulary give null.
@@ -150,7 +151,7 @@ class Tokenizer:
         hashes = np.array([xxhash.xxh64(p.encode(), seed=42).intdigest() for p in named], dtype=np.uint64).view(np.int64)
         self.words = _Table(hashes, np.array(whole, dtype=np.int64), _window)
         self.names = F.split(F.lit("\u0100".join(p.decode("latin-1") for p in self.pieces)), "\u0100")
-        self._ideographs: list[Column] | None = None
+        self._ideographs: Column | None = None
 
     def cut(self) -> str:
         """Where a run of ideographs (U+4000 to U+9FFF, as bytes) may be cut: no token holds the bytes at both sides."""
@@ -186,49 +187,61 @@ class Tokenizer:
         start = F.struct(ids.alias("ids"), first.alias("best"))
         return F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step)["ids"]
 
-    def encode_piece(self, piece: Column) -> Column:
-        """Ids of one piece: itself, if it is a token, else its folded bytes."""
+    def known(self, piece: Column) -> Column:
+        """The id of a piece that is a token; null of any other."""
+        return _bind(F.coalesce(self.words.entry(F.xxhash64(piece)), F.lit(-1)).cast("int"), lambda i: F.when(F.get(self.names, i) == piece, i))
+
+    def fold_piece(self, piece: Column) -> Column:
+        """Ids of a piece by folding its bytes."""
         codes = _literal(self.byte_ids, "int")
-        single = lambda p: F.transform(F.split(p, ""), lambda c: F.get(codes, F.ascii(c)))
-        known = F.coalesce(self.words.entry(F.xxhash64(piece)), F.lit(-1)).cast("int")
-        return _bind(known, lambda i: F.when(F.get(self.names, i) == piece, F.array(i)).otherwise(_bind(single(piece), self.fold)))
+        return _bind(F.transform(F.split(piece, ""), lambda c: F.get(codes, F.ascii(c))), self.fold)
 
-    def ideographs(self, spark: SparkSession) -> list[Column]:
-        """First, second and third id (-1: none) of each ideograph, as literals in code point order."""
+    def ideographs(self, spark: SparkSession) -> Column:
+        """The ids of each ideograph, as a literal in code point order: first + (second + 1) * 2^16 + (third + 1) * 2^32."""
         if self._ideographs is None:
             p = F.col("id")
             octets = [F.shiftright(p, 12).bitwiseOR(0xE0), F.shiftright(p, 6).bitwiseAND(0x3F).bitwiseOR(0x80), p.bitwiseAND(0x3F).bitwiseOR(0x80)]
-            rows = spark.range(FIRST, LAST + 1, 1, 1).select("id", self.encode_piece(F.concat(*[F.char(o) for o in octets])).alias("ids")).collect()
-            ids = [r["ids"] for r in sorted(rows, key=lambda r: r["id"])]
-            self._ideographs = [_literal([x[i] if len(x) > i else -1 for x in ids], "int") for i in range(3)]
+            rows = spark.range(FIRST, LAST + 1, 1, 1).select("id", self.fold_piece(F.concat(*[F.char(o) for o in octets])).alias("ids")).collect()
+            ids = [[*r["ids"], -1, -1][:3] for r in sorted(rows, key=lambda r: r["id"])]
+            self._ideographs = _literal([a | b + 1 << 16 | c + 1 << 32 for a, b, c in ids], "bigint")
         return self._ideographs
 
+    def _packed(self, single: Column, piece: Column) -> Column:
+        """The packed ids of an ideograph or a token; null of any other piece."""
+        bits = lambda i: F.ascii(F.substring(piece, i, 1)).bitwiseAND(0x3F)
+        at = F.shiftleft(F.ascii(piece).bitwiseAND(0x0F), 12) + F.shiftleft(bits(2), 6) + bits(3) - FIRST
+        lead = F.ascii(piece)
+        return F.when((F.length(piece) == 3) & (lead >= 0xE4) & (lead <= 0xE9), _bind(at, lambda i: F.when(i >= 0, F.get(single, i)))).otherwise(self.known(piece).cast("long"))
+
     def encode(self, df: DataFrame, text: str, ids: str = "ids") -> DataFrame:
         """`df` with the column of ids of a text column."""
-        first, second, third = self.ideographs(df.sparkSession)
-
-        def ideograph(p: Column) -> Column:
-            """Place of an ideograph in the literals; null of any other piece."""
-            bits = lambda i: F.ascii(F.substring(p, i, 1)).bitwiseAND(0x3F)
-            lead = F.ascii(p)
-            at = F.shiftleft(lead.bitwiseAND(0x0F), 12) + F.shiftleft(bits(2), 6) + bits(3) - FIRST
-            return F.when((F.length(p) == 3) & lead.between(0xE4, 0xE9), F.when(at >= 0, at))
+        single = self.ideographs(df.sparkSession)
 
-        def own(at: Column) -> Column:
-            return _bind(F.get(second, at), lambda b: F.when(b < 0, F.array(F.get(first, at))).otherwise(_bind(F.get(third, at), lambda c: F.when(c < 0, F.array(F.get(first, at), b)).otherwise(F.array(F.get(first, at), b, c)))))
+        def unpacked(x: Column) -> Column:
+            low = x.bitwiseAND(0xFFFF).cast("int")
+            two = lambda: F.shiftright(x, 16).bitwiseAND(0xFFFF).cast("int") - 1
+            return F.when(x < 1 << 16, F.array(low)).when(x < 1 << 32, F.array(low, two())).otherwise(F.array(low, two(), F.shiftright(x, 32).cast("int") - 1))
 
         def of(pieces: Column) -> Column:
-            other = F.array_distinct(F.filter(pieces, lambda p: ideograph(p).isNull()))
-            known = _bind(other, lambda o: F.map_from_arrays(o, F.transform(o, self.encode_piece)))
-            return _bind(known, lambda m: F.flatten(F.transform(pieces, lambda p: _bind(ideograph(p), lambda at: F.when(at.isNotNull(), own(at)).otherwise(F.element_at(m, p))))))
+            def join(c: Column) -> Column:
+                rest = F.array_distinct(F.filter(pieces, lambda p, i: F.get(c, i).isNull()))
+                folded = lambda r: F.flatten(F.transform(pieces, lambda p, i: F.when(F.get(c, i).isNotNull(), unpacked(F.get(c, i))).otherwise(F.element_at(r, p))))
+                plain = F.flatten(F.transform(c, unpacked))
+                return F.when(F.exists(c, lambda x: x.isNull()), _bind(_bind(rest, lambda o: F.map_from_arrays(o, F.transform(o, self.fold_piece))), folded)).otherwise(plain)
+
+            return _bind(F.transform(pieces, lambda p: self._packed(single, p)), join)
 
         return df.withColumn(ids, F.when(F.length(text) > 0, _bind(self.split(F.col(text)), of)).otherwise(F.array().cast("array<int>")))
 
     def decode(self, ids: Column) -> Column:
-        """The text of ids; null for null ids and for ids that aren't in the vocabulary."""
+        """The text of ids, from their binary pieces; null for null ids and for ids that aren't in the vocabulary.
+
+        Ids that end inside a character give U+FFFD there.
+        """
         pieces = F.transform(ids, lambda i: F.get(self.names, i))
-        whole = F.decode(F.encode(F.array_join(pieces, ""), "iso-8859-1"), "utf-8")
-        return F.when(~F.exists(pieces, lambda p: F.coalesce(p, F.lit("")) == ""), whole)
+        binary = F.aggregate(pieces, F.lit(b""), lambda have, p: F.concat(have, F.encode(p, "iso-8859-1")))
+        octets = F.coalesce(binary, F.lit(b""))
+        return F.when(ids.isNotNull() & ~F.exists(pieces, lambda p: F.coalesce(p, F.lit("")) == ""), F.when(F.is_valid_utf8(octets.cast("string")), octets.cast("string")).otherwise(F.make_valid_utf8(octets.cast("string"))))
 
 
 def _byte_of_character() -> dict[str, int]:

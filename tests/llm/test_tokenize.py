@@ -27,3 +27,9 @@ def test_decode_of_unknown_ids_and_empty_table(spark, tokenizer):
     df = spark.createDataFrame([([1, 60000],), (None,), ([],)], "ids array<int>")
     assert [r.t for r in df.select(tokenizer.decode(F.col("ids")).alias("t")).collect()] == [None, None, ""]
     assert tokenizer.encode(spark.createDataFrame([], "text string"), "text").count() == 0
+
+
+def test_decode_of_ids_that_end_inside_a_character(spark, tokenizer):
+    half = tokenizer.byte_ids[0xE4]
+    df = spark.createDataFrame([([half],), ([tokenizer.byte_ids[0x61], half, tokenizer.byte_ids[0x62]],)], "ids array<int>")
+    assert [r.t for r in df.select(tokenizer.decode(F.col("ids")).alias("t")).collect()] == ["\ufffd", "a\ufffdb"]
