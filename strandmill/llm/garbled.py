@@ -1,15 +1,18 @@
 """Text that was decoded with the wrong character encoding: finding it and, where nothing was lost, restoring it.
 
-1. `pair_statistics` counts adjacent characters over the whole corpus, in a table of 2^bits slots (its size doesn't grow
-   with the corpus). Texts with an outright sign of damage (a replacement character, a C1 control, an accented letter
+1. `pair_statistics` counts adjacent characters over the whole corpus, in a table of 2^bits slots. Pairs that are so rare
+   that they score as improbable whatever their characters are left out of it; the table is made larger until at most a
+   sixteenth of its slots is taken (2^25 slots at most), so that hardly a rare pair has a usual one's slot, however
+   diverse the corpus is. Texts with an outright sign of damage (a replacement character, a C1 control, an accented letter
    before a Latin-1 symbol) are left out of the counts, or damage would look ordinary where it is frequent.
 2. Each pair of a text is scored by its share of the corpus' mutual information, p(xy) * log(p(xy) / (p(x) p(y))): v > 0
-   for an improbable pair, v < 0 for a usual one. All maximal scoring segments of v are the improbable runs.
+   for an improbable pair, v < 0 for a usual one. Characters that sound text never holds (U+FFFD, C1 controls) score
+   highest, also at a text's edge. All maximal scoring segments of v are the improbable runs.
 3. Inverse mappings (encode with the wrong encoding, decode with the right one) are tested inside these runs only. One
    is taken if it decodes strictly and what it gives is usual by the same statistics. It is tried again on its result
    until none applies, for text that was decoded wrongly several times.
 
-A text is a case if it holds a replacement character, a run with C1 controls, or a run with an inverse mapping.
+A text is a case if it has an improbable run that holds a replacement character or a C1 control, or one with an inverse mapping.
 
 Defined results: null, empty and blank texts are no cases. Rows with a null id are kept if they are cases. Repeated rows
 come out once each. `restored` is null where characters were lost. Very long texts are handled whole. Without any text
@@ -27,9 +30,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-BITS, CHARACTER_SLOTS = 21, 1 << 17
+from strandmill.session import cut
+
+BITS, MOST_BITS, CHARACTER_SLOTS = 21, 25, 1 << 17
 #: A pair with less than this share of mutual information (nats) is improbable; a run's least score.
 USUAL, LEAST = 1e-6, 3.5
+#: Below this share of all pairs p * log(1 / p) is less than USUAL / e^2: the pair's v is 2 as if it were never seen.
+NEGLIGIBLE = 5e-9
+#: v of a pair with a character that sound text never holds.
+UNHEARD = 4.0
 _CHUNK = 400_000
 
 # What cp1252 makes of the bytes 0x80 to 0x9F; fixed values. The five bytes without a character stay C1 controls.
@@ -78,14 +87,18 @@ def _chunks(texts: list[str]) -> Iterator[list[int]]:
 
 def _count(bits: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, single = np.zeros(1 << bits, np.int64), np.zeros(CHARACTER_SLOTS, np.int64)
+        single = np.zeros(CHARACTER_SLOTS, np.int64)
+        pairs = np.zeros(1 << bits, np.int64)
         for batch in batches:
             texts = batch["text"].tolist()
             for part in _chunks(texts):
                 points = _points("\n".join(texts[i] for i in part))
                 single += np.bincount(points & (CHARACTER_SLOTS - 1), minlength=CHARACTER_SLOTS)
-                if len(points) > 1:
+                if len(points) > 1 and bits <= BITS:
                     pairs += np.bincount(_slots(points[:-1], points[1:], bits), minlength=1 << bits)
+                elif len(points) > 1:
+                    slots, n = np.unique(_slots(points[:-1], points[1:], bits), return_counts=True)
+                    pairs[slots] += n
         for kind, counts in ((0, pairs), (1, single)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "slot": at.astype(np.int32), "n": counts[at]})
@@ -100,10 +113,11 @@ class Statistics:
     pairs: np.ndarray
     single: np.ndarray
     bits: int
+    total: int = 1
 
     def improbable(self, points: np.ndarray) -> np.ndarray:
         """v of each pair: log of the usual share by its own, within -2 and 2."""
-        total = max(1, int(self.pairs.sum()))
+        total = max(1, self.total)
         c = self.pairs[_slots(points[:-1], points[1:], self.bits)].astype(np.float32)
         alone = self.single[points & (CHARACTER_SLOTS - 1)].astype(np.float32)
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -125,14 +139,22 @@ class Statistics:
         return all(self.single[ord(c) & (CHARACTER_SLOTS - 1)] > 0 or ord(c) >= 0x1F000 or 0x2000 <= ord(c) < 0x2C00 or 0xFE00 <= ord(c) <= 0xFE0F for c in text)
 
 
-def pair_statistics(texts: DataFrame, text: str = "text", bits: int = BITS) -> Statistics:
-    """Counts over all texts of a column; at most 2^bits + 2^17 rows come to the driver, however large the corpus is."""
+def pair_statistics(texts: DataFrame, text: str = "text", bits: int = BITS, most_bits: int = MOST_BITS) -> Statistics:
+    """Counts over all texts of a column; at most 2^most_bits + 2^17 rows come to the driver, however large the corpus is."""
     clean = texts.select(F.col(text).alias("text")).filter((F.length("text") > 1) & ~F.col("text").rlike(DAMAGED))
-    rows = clean.mapInPandas(_count(bits), "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toPandas()
-    out = Statistics(np.zeros(1 << bits, np.int64), np.zeros(CHARACTER_SLOTS, np.int64), bits)
-    for kind, counts in ((0, out.pairs), (1, out.single)):
-        own = rows[rows["kind"] == kind]
-        counts[own["slot"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    while True:
+        counted = clean.mapInPandas(_count(bits), "kind int, slot int, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
+        counted = cut(counted)
+        total = counted.filter("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        rows = counted.filter((F.col("kind") == 1) | (F.col("n") >= total * NEGLIGIBLE)).toPandas()
+        own = rows[rows["kind"] == 0]
+        if len(own) * 16 <= 1 << bits or bits >= most_bits:
+            break
+        bits = min(bits + 2, most_bits)
+    out = Statistics(np.zeros(1 << bits, np.int64), np.zeros(CHARACTER_SLOTS, np.int64), bits, int(total))
+    out.pairs[own["slot"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    single = rows[rows["kind"] == 1]
+    out.single[single["slot"].to_numpy(np.int64)] = single["n"].to_numpy(np.int64)
     return out
 
 
@@ -163,13 +185,17 @@ def improbable_runs(texts: list[str], stats: Statistics) -> list[list[tuple[int,
     found: list[list[tuple[int, int]]] = [[] for _ in texts]
     for part in _chunks(texts):
         lengths = np.array([len(texts[i]) for i in part])
-        points = _points("\n".join(texts[i] for i in part))
+        # Two line ends between texts, so that a run never goes from one text to the next.
+        points = _points("\n\n".join(texts[i] for i in part))
         if len(points) < 2:
+            found[part[0]] = [(0, len(points))] if _HARD.search(texts[part[0]]) else []
             continue
+        starts = np.r_[0, np.cumsum(lengths + 2)[:-1]]
+        ends = (starts + lengths)[:-1]
         v = stats.improbable(points).astype(np.float64)
-        starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
-        edges = (starts + lengths)[:-1]
-        v[edges - 1] = v[np.minimum(edges, len(v) - 1)] = -1e6  # pairs with the separator
+        v[ends] = v[starts[1:] - 1] = v[np.maximum(ends - 1, 0)] = -1e6
+        hard = np.flatnonzero((points == 0xFFFD) | (points >= 0x80) & (points <= 0x9F) & (points != 0x85))
+        v[np.maximum(hard - 1, 0)] = v[np.minimum(hard, len(v) - 1)] = UNHEARD
         total = np.r_[0.0, np.cumsum(v)]
         above = total - np.minimum.accumulate(total)
         inside = above > 0
@@ -182,8 +208,8 @@ def improbable_runs(texts: list[str], stats: Statistics) -> list[list[tuple[int,
         peaks = np.maximum(peaks, above[last])
         for a, b in zip(first[peaks >= LEAST], last[peaks >= LEAST]):
             top = a + int(np.argmax(above[a : b + 1]))  # pairs a-1 .. top-1
-            i = int(np.searchsorted(starts, a - 1, "right")) - 1
-            found[part[i]].append((int(a - 1 - starts[i]), int(min(top + 1 - starts[i], lengths[i]))))
+            i = int(np.searchsorted(starts, a, "right")) - 1
+            found[part[i]].append((int(max(a - 1 - starts[i], 0)), int(min(top + 1 - starts[i], lengths[i]))))
             # A stretch's first segment ends at its peak; what follows can hold others.
             rest = total[top : b + 1]
             if len(rest) > 1 and (rest - np.minimum.accumulate(rest)).max() >= LEAST:
@@ -259,7 +285,6 @@ _WIDE_ENCODERS = [(w, lambda s, w=w: s.encode(w)) for w in _WIDE_WRONG]
 def examine(text: str, runs: list[tuple[int, int]], stats: Statistics) -> tuple[bool, str | None, str]:
     """Whether a text is garbled, its restored form (null if something is lost) and the mappings that were undone."""
     lost = "�" in text
-    runs = [*runs, *((m.start(), m.end()) for m in _HARD.finditer(text))]
     now, path, seen = text, [], {text}
     while runs:
         # First the mappings of whole spans: bytes of other encodings can hold what looks like a sequence of UTF-8.
@@ -276,7 +301,7 @@ def examine(text: str, runs: list[tuple[int, int]], stats: Statistics) -> tuple[
         path.append(how)
         now = step
         seen.add(now)
-        runs = improbable_runs([now], stats)[0] + [(m.start(), m.end()) for m in _HARD.finditer(now)]
+        runs = improbable_runs([now], stats)[0]
     garbled = lost or bool(path) or bool(_CONTROL.search(text))
     whole = garbled and bool(path) and not lost and not _HARD.search(now)
     return garbled, now if whole else None, ", ".join(path)
@@ -289,7 +314,7 @@ def _find(broadcast):
             texts = batch["text"].tolist()
             rows, restored, mappings = [], [], []
             for i, (t, runs) in enumerate(zip(texts, improbable_runs(texts, stats))):
-                if runs or _HARD.search(t):
+                if runs:
                     hit, good, path = examine(t, runs, stats)
                     if hit:
                         rows.append(i)

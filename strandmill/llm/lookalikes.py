@@ -1,21 +1,24 @@
 """Visually identical text with different characters: skeletons, and one consistent form.
 
 The skeleton of a text is made by decomposing it, replacing every character by its prototype in the look-alike table and
-composing again; texts with equal skeletons look the same. The table has three parts:
+decomposing again; texts with equal skeletons look the same. Skeletons are stored composed, which keeps them equal or
+different as they are. The table has these parts:
 
 * by rule, from Unicode's compatibility decompositions: full-width letters and digits, half-width katakana, letter
-  ligatures and digraphs, Kangxi radicals and compatibility ideographs;
+  ligatures and digraphs, Kangxi radicals and compatibility ideographs; for skeletons also mathematical letters and digits;
 * supplementary radicals that are drawn like an ordinary ideograph, and Greek and Cyrillic letters that are drawn like a
-  Latin one (fixed values);
+  Latin one (fixed values; the letters are those whose prototype is a Latin letter or digit in the confusables of Unicode
+  Technical Standard 39, as far as fonts in common use draw them alike; its file isn't read, as the box has none);
 * invisible format characters, which vanish, and space characters, which become U+0020.
 
 The consistent form applies the table only where a character is disguised, so that ordinary text stays as it is: Greek and
 Cyrillic letters only in words that also hold a Latin letter (to the script of most letters of the word), joiners and
 variation selectors only outside emoji, and full-width punctuation, U+3000 and line breaks never.
 
-Only texts with a character that can be a disguise go to Python (`CANDIDATE`, a test in the JVM); for all others the
-consistent form is the text. Greek and Cyrillic letters carry their accents over: they are decomposed for the table.
-`find_disguised` computes no skeletons: a row is found by the classes of its characters and the scripts of its words.
+`find_disguised` takes its rows by skeletons: a text that is its own skeleton is ordinary; of the others the classes of
+their characters and the scripts of their words then tell whether they are disguised, as whole words of another script
+have other skeletons, too, and are ordinary. Texts without any character that the table or a decomposition changes
+(`CANDIDATE`, `CHANGED`: tests in the JVM) are their own skeletons and don't go to Python.
 
 Defined results: null stays null with no kinds; empty text stays empty. Ties and repeated rows are ordinary. The forms are
 idempotent. Very long texts are handled whole.
@@ -92,8 +95,6 @@ _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _ACCENTED = re.compile("[^\\W\\d_][̀-ͯ]")
 _WORD = re.compile("[A-Za-zÀ-ɏḀ-ỿ\u0300-\u036f\u0370-\u052f\u1f00-\u1fff]+")
 _CROSSING = re.compile("[\u0370-\u052f\u1f00-\u1fff]")
-#: The same for the JVM.
-CROSSING = r"[\x{370}-\x{52F}\x{1F00}-\x{1FFF}]"
 _LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
 _TO_LATIN = str.maketrans(CROSS_SCRIPT)
 _TO_CYRILLIC = str.maketrans({b: a for a, b in reversed(_CYRILLIC.items()) if b.isalpha() and a != "ӏ" and b not in "bnrhsijdqwvl"})
@@ -176,45 +177,62 @@ def consistent(text: str) -> tuple[str, list[str]]:
     return unicodedata.normalize("NFC", joined), kinds
 
 
-def _forms(texts: pd.Series) -> pd.DataFrame:
-    done = [(None, []) if t is None else consistent(t) for t in texts]
-    return pd.DataFrame({"form": [f for f, _ in done], "kinds": [k for _, k in done]})
+@lru_cache
+def _skeleton_table() -> dict[int, str]:
+    table = dict(prototypes()) | {ord(a): b for a, b in CROSS_SCRIPT.items()} | {c: " " for c in range(0x3000) if _SPACE.match(chr(c))}
+    for c in range(0x1D400, 0x1D800):
+        if (form := unicodedata.normalize("NFKC", chr(c))) != chr(c):
+            table[c] = form
+    return table
 
 
-def with_forms(rows: DataFrame, text: str, form: str = "form", kinds: str = "kinds", skeleton: str = "skeleton") -> DataFrame:
-    """`rows` with the consistent form, the kinds of disguise (empty for ordinary text) and the skeleton of a text column."""
-    unify = F.pandas_udf(_forms, "form string, kinds array<string>")
-    own = F.col(text)
-    done = rows.withColumn(kinds, unify(F.when(own.rlike(CANDIDATE), own)))
-    consistent_form = F.coalesce(F.col(f"{kinds}.form"), own)
-    return done.withColumn(form, consistent_form).withColumn(skeleton, skeleton_of(F.col(form))).withColumn(kinds, F.coalesce(F.col(f"{kinds}.kinds"), F.array().cast("array<string>")))
+def skeleton(text: str) -> str:
+    """Decomposed, mapped, decomposed again (and stored composed)."""
+    mapped = _HIDDEN.sub("", unicodedata.normalize("NFD", text)).translate(_skeleton_table())
+    # Prototypes of mathematical Greek letters have prototypes themselves.
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", mapped.translate(_TO_LATIN)))
 
 
-def _skeletons(forms: pd.Series) -> pd.Series:
-    return forms.map(lambda t: t if t is None else _mapped(t, _TO_LATIN))
+def _skeletons(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else skeleton(t))
 
 
-def skeleton_of(form: Column) -> Column:
-    """The skeleton of a consistent form: Greek and Cyrillic letters, with or without accents, too, become the Latin ones that they look like.
+#: A regular expression of the JVM: characters that only skeletons change.
+CHANGED = r"[\x{370}-\x{52F}\x{1F00}-\x{1FFF}\x{1D400}-\x{1D7FF}]"
 
-    A consistent form is composed, so one without such letters is its own skeleton and stays in the JVM.
-    """
-    return F.coalesce(F.pandas_udf(_skeletons, "string")(F.when(form.rlike(CROSSING), form)), form)
+
+def skeleton_of(text: Column) -> Column:
+    """The skeleton of a text column; texts that nothing changes stay in the JVM."""
+    return F.coalesce(F.pandas_udf(_skeletons, "string")(F.when(text.rlike(f"{CANDIDATE}|{CHANGED}"), text)), text)
+
+
+def _disguises(texts: pd.Series) -> pd.DataFrame:
+    """Form and kinds of the texts that aren't their own skeletons; no kinds for the others."""
+    done = [(t, []) if t is None or skeleton(t) == t else consistent(t) for t in texts]
+    return pd.DataFrame({"form": [f for f, _ in done], "kinds": [k for _, k in done]})
 
 
 def find_disguised(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kinds, form of the rows whose text holds a disguised character."""
+    """key, kinds, form of the rows whose text differs from its skeleton by a disguised character; form is the consistent form."""
     own = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").rlike(CANDIDATE))
-    found = own.select("key", F.pandas_udf(_forms, "form string, kinds array<string>")(F.col("text")).alias("d"))
+    found = own.select("key", F.pandas_udf(_disguises, "form string, kinds array<string>")(F.col("text")).alias("d"))
     return found.select(F.col("key").alias(key), F.col("d.kinds").alias("kinds"), F.col("d.form").alias("form")).filter(F.size("kinds") > 0)
 
 
+def with_forms(rows: DataFrame, text: str, form: str = "form", kinds: str = "kinds", skeleton: str = "skeleton") -> DataFrame:
+    """`rows` with the consistent form, the kinds of disguise (empty for ordinary text) and the skeleton of a text column."""
+    own = F.col(text)
+    done = rows.withColumn(kinds, F.pandas_udf(_disguises, "form string, kinds array<string>")(F.when(own.rlike(CANDIDATE), own)))
+    forms = done.withColumn(form, F.coalesce(F.col(f"{kinds}.form"), own)).withColumn(skeleton, skeleton_of(own))
+    return forms.withColumn(kinds, F.coalesce(F.col(f"{kinds}.kinds"), F.array().cast("array<string>")))
+
+
 def look_alike_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     """skeleton_id, n_records, n_originals, first_key: groups of records that look the same and are written in more than one way.
 
     Rows are combined to (skeleton, text) digests first, so a skeleton that a third of all rows share is no hot group.
     """
-    made = with_forms(rows.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), "text")
+    made = rows.filter(F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), skeleton_of(F.col(text)).alias("skeleton"))
     digests = made.select("key", F.sha2(F.trim(F.regexp_replace("skeleton", r"(?U)\s+", " ")), 256).alias("skeleton_id"), F.xxhash64("text").alias("original"))
     each = digests.groupBy("skeleton_id", "original").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     return each.groupBy("skeleton_id").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_originals"), F.min("key").alias("first_key")).filter("n_originals > 1")

@@ -4,7 +4,7 @@ Ordered rules on each response and the prompt and reference answer of its item;
 the first is the pair's type:
 
   empty           null, blank or invisible text, nothing but marks and brackets, or a null-like placeholder
-  refusal         declines to answer, in any of ten languages, also inside JSON, quotes or a code fence
+  refusal         declines to answer, in any of twenty languages, also inside JSON, quotes or a code fence
   copied_question only repeats the prompt, its question or its text, up to case, spacing, punctuation and a short label
   other_language  the prose is in another language than the prompt's, or than the one that the prompt asks for
   truncated       an unclosed delimiter or fence, broken JSON, or an end without the end of a sentence
@@ -39,9 +39,10 @@ _APOLOGY = (
     r"|(?:i\s*(?:am|['’]m)|we\s*(?:are|['’]re))?\s*(?:so|very|really|truly|terribly)?\s*(?:sorry|afraid)|(?:my\s+|our\s+)?apologies|i apologi[sz]e|unfortunately|regrettably|thank(?:s| you) for (?:asking|your (?:question|interest|request))"
     r"|(?:大変)?申し訳(?:ありません|ございません|ない)(?:が|けど)?|すみません(?:が)?|ごめんなさい|恐れ入りますが|残念ながら|죄송(?:합니다|하지만|해요)|미안(?:합니다|하지만)|유감스럽지만"
     r"|(?:je suis )?(?:vraiment )?(?:désolée?|navrée?)|malheureusement|lo siento(?: mucho)?|lamentablemente|por desgracia|desafortunadamente|perdón|es tut mir leid|tut mir leid|leider|entschuldigung|entschuldigen sie|(?:peço )?desculpas?|desculpe|lamento|infelizmente"
-    r"|(?:tôi )?(?:rất )?(?:xin lỗi|tiếc)|rất tiếc|к сожалению|извините|простите|прошу прощения)"
+    r"|(?:tôi )?(?:rất )?(?:xin lỗi|tiếc)|rất tiếc|к сожалению|извините|простите|прошу прощения"
+    r"|(?:mi )?(?:dispiace|scus[ai])|purtroppo|przykro mi|przepraszam|niestety|het spijt me|helaas|sorry|üzgünüm|maalesef|ne yazık ki|tyvärr|jag är ledsen|beklager|desværre|maaf|mohon maaf|sayangnya|ขออภัย|ขอโทษ|عذر[اًا]+|آسف|للأسف|क्षमा करें|माफ़ करें|на жаль|вибачте|bohužel|omlouvám se|sajnálom)"
 )
-_LEAD = r"(?:as an? (?:ai|artificial intelligence|large language|language)[\w\s-]{0,30}|(?:身為|作為|作为|身为)(?:一個|一个|一名)?(?:AI|人工智慧|人工智能|大型語言|語言|语言)?(?:模型|助理|助手|系統)?|(?:en tant qu['’]|como |als |на правах )[\w\s]{0,30}|でも|しかし|但是?|不過|然而|but|however|mais|pero|aber|mas|nhưng|но)"
+_LEAD = r"(?:as an? (?:ai|artificial intelligence|large language|language)[\w\s-]{0,30}|(?:身為|作為|作为|身为)(?:一個|一个|一名)?(?:AI|人工智慧|人工智能|大型語言|語言|语言)?(?:模型|助理|助手|系統)?|(?:en tant qu['’]|como |als |на правах )[\w\s]{0,30}|でも|しかし|但是?|不過|然而|but|however|mais|pero|aber|mas|ma|però|ale|maar|ama|men|tapi|tetapi|แต่|लेकिन|але|nhưng|но)"
 _CORE = (
     # Chinese
     r"(?:恕?(?:我們?|我们|本人|本助理|本系統)?(?:實在|目前|暫時|確實|並|也|還是|对此|對此|對這題|這題|這個問題|此題)*(?:無法|无法|不能|沒辦法|没办法|沒有辦法|不便|不方便|難以|难以|不會|不会|不願|不想|不宜|不予|拒絕|拒绝|婉拒|謝絕|選擇略過|选择略过|選擇跳過|選擇不|没有立场|沒有立場|無權|不具備|不具备|沒有權限|没有权限|不被允許|未獲授權))"
@@ -51,13 +52,17 @@ _CORE = (
     # English
     r"|(?:i|we)\s*(?:['’]m|am|are|['’]re)?\s*(?:really |simply |just |currently |still )?(?:can\s*not|can['’]?t|could\s*n[o'’]t|could not|unable|not able|not (?:comfortable|allowed|permitted|authorized|in a position|going)|won['’]?t|will not|(?:must|have to|need to|shall|would like to|will|['’]ll|['’]d (?:rather|prefer to)) (?:respectfully |politely )?(?:decline|refuse|pass|skip|abstain|not)|decline|refuse|do not (?:feel|have (?:access|permission|the authority))|don['’]?t (?:feel|have (?:access|permission|the authority))|prefer not|would rather not|would prefer not)"
     r"|(?:it|this|that|answering|responding|doing so)(?: here| to (?:this|that))?\s*(?:would|is|goes|violates|falls|may|might|could|isn['’]t)\s*[^.!?\n]{0,24}(?:against (?:my|our|the)|outside (?:my|our|the|of)|beyond (?:my|our|the)|not (?:be )?(?:appropriate|something)|inappropriate|something (?:i|we) (?:can\s*not|can['’]t|won['’]t)|violate)"
-    r"|let (?:us|me)['’]? (?:skip|pass)|let['’]?s (?:skip|pass)|no comment|(?:please )?(?:allow|excuse) me (?:from|to (?:skip|decline|pass))|my guidelines|i['’]d rather not"
+    r"|(?:i|we)(?:['’]d| would) (?:prefer|rather|like|choose) (?:not|to (?:leave|skip|pass|decline|abstain|refrain))|(?:this|that|the) question (?:will|must|should|is best|shall) (?:be )?(?:left|remain|go) unanswered|let (?:us|me)['’]? (?:skip|pass)|let['’]?s (?:skip|pass)|no comment|(?:please )?(?:allow|excuse) me (?:from|to (?:skip|decline|pass))|my guidelines|i['’]d rather not"
     # Japanese, Korean
     r"|[^。！？\n]{0,24}(?:お答え|回答|お手伝い|対応|お力|コメント|説明|お話し|提供|協力)[^。！？\n]{0,6}(?:できません|できかねます|いたしかねます|しかねます|出来ません|控え|差し控え|辞退|遠慮)|[^.!?\n]{0,24}(?:답변|답|대답|도와|도움|응답|제공|말씀)[^.!?\n]{0,8}(?:수 없|어렵|않겠|거절|삼가)"
     # French, Spanish, German, Portuguese, Vietnamese, Russian
     r"|je (?:ne (?:peux|puis|suis|souhaite|veux|saurais|préfère)|n['’]ai pas le droit|refuse|dois (?:refuser|décliner)|préfère ne pas)|(?:no (?:puedo|podemos|me es posible|estoy (?:autorizad|en condiciones)|debo|voy a|deseo)|prefiero no|debo rechazar|me niego)"
     r"|(?:ich|wir) (?:kann|können|darf|dürfen|möchte|werde|muss)\b[^.!?\n]{0,50}(?:nicht|ablehnen|keine|verweigern)|(?:kann|darf) ich\b[^.!?\n]{0,50}(?:nicht|keine)|(?:eu )?(?:não (?:posso|consigo|podemos|me é possível|devo|vou|estou autorizad)|prefiro não|recuso|devo recusar)"
     r"|(?:tôi|chúng tôi|mình) (?:không (?:thể|được phép|có quyền|muốn)|xin phép không|phải từ chối|từ chối)|(?:я |мы )?(?:не (?:могу|можем|буду|вправе|имею права)|вынужден[аы]? отказать|отказываюсь|предпоч[её]л[аи]? бы не)"
+    # Italian, Polish, Dutch, Turkish, Swedish and Norwegian, Indonesian, Thai, Arabic, Hindi, Ukrainian, Czech
+    r"|(?:io )?non (?:posso|possiamo|sono in grado|mi è possibile|intendo|desidero)|preferisco non|devo rifiutare|nie (?:mogę|możemy|jestem w stanie|chcę)|odmawiam|wolę nie"
+    r"|(?:(?:ik|wij|we) (?:kan|kunnen|mag|mogen|wil|zal)|(?:kan|mag|zal) ik|kunnen (?:wij|we))\b[^.!?\n]{0,50}(?:niet|geen)|[^.!?\n]{0,60}(?:yanıt ver|cevap ver|cevapla|yanıtla|yardımcı ol)(?:em(?:em|iyorum|eyiz|eyeceğim)|miyorum)|(?:jag|vi|jeg) (?:kan|får|vil|vill|må)\b[^.!?\n]{0,40}(?:inte|ikke|avstå|avböja)"
+    r"|(?:saya|kami) (?:tidak (?:dapat|bisa|boleh|akan)|menolak|harus menolak)|(?:ฉัน|ผม|ดิฉัน|เรา)?(?:ไม่สามารถ|ไม่อาจ|ขอไม่)|(?:أنا )?لا (?:أستطيع|يمكنني|نستطيع|أقدر)|(?:मैं|हम)[^।\n]{0,60}(?:नहीं (?:दे|कर) सकत|असमर्थ)|(?:я |ми )?не (?:можу|можемо|буду)|(?:nemohu|nemůžu|nemůžeme|odmítám)"
 )
 _REFUSAL = re.compile(rf"^[\s\W_]*(?:(?:{_APOLOGY}|{_LEAD})[\s\W_]*)*(?:{_CORE})", re.I)
 # Apologies that go on with an answer: corrections of an earlier one.
@@ -203,10 +208,22 @@ def _prose(body: str, value: object) -> str:
     return _SHORT_LABELS.sub(" ", "\n".join(texts))
 
 
+def _latin_prose(text: str) -> bool:
+    """Whether most letters are Latin and make prose: several words, most of them in lower case."""
+    words = re.findall("[A-Za-zÀ-ɏḀ-ỿ]+", text)
+    latin = sum(map(len, words))
+    others = sum(sum(map(len, p.findall(text))) for p in _SCRIPTS.values())
+    return len(words) >= 4 and latin >= 16 and latin > 3 * others and 2 * sum(w.islower() for w in words) > len(words)
+
+
 def is_other_language(body: str, value: object, prompt: str | None) -> bool:
+    """Another language, or, where that can't be told, prose in another script."""
     wanted = wanted_language(prompt) if prompt else None
-    found = language(_prose(body, value)) if wanted else None
-    return found is not None and found != wanted
+    if wanted is None:
+        return False
+    prose = _prose(body, value)
+    found = language(prose)
+    return found != wanted if found is not None else wanted in _SCRIPTS and _latin_prose(prose)
 
 
 _CLOSED = re.compile(r"(?:[。．.!！?？…~～;；:：‼⁉｡♪♥❤︎☀-➿\U0001f000-\U0001faff‍️]|[」』）)\]】》〉”’\"'`*_}])\s*$")

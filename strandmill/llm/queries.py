@@ -118,28 +118,29 @@ def _look_alike_tables(spark: SparkSession, folder: str):
     )
 
 
-@LLM.add("p4_found")
-def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with disguised characters; documents that are garbled aren't among them."""
+def _disguised(spark: SparkSession, folder: str) -> DataFrame:
+    """table_name, record_id, kinds, form of disguised records; documents that are garbled aren't among them."""
     out = None
     for name, rows, key, text in _look_alike_tables(spark, folder):
         if name == "documents":
             stats = garbled.pair_statistics(rows)
             wrong = garbled.find_garbled(rows.filter(F.col("text").rlike(lookalikes.CANDIDATE)), key, text, stats).select(key).distinct()
             rows = rows.join(wrong, key, "left_anti")
-        found = lookalikes.find_disguised(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"))
+        found = lookalikes.find_disguised(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "kinds", "form")
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    return out
+
+
+@LLM.add("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with disguised characters."""
+    return _disguised(spark, folder).select("table_name", "record_id").distinct()
 
 
 @LLM.add("p4_forms")
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every disguised record."""
-    out = None
-    for name, rows, key, text in _look_alike_tables(spark, folder):
-        found = lookalikes.find_disguised(rows, key, text).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), "kinds", "form")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return _disguised(spark, folder)
 
 
 @LLM.add("p4_groups")

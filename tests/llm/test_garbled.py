@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from strandmill.llm.garbled import LEAST, find_garbled, improbable_runs, maximal_segments
+from strandmill.llm.garbled import LEAST, find_garbled, improbable_runs, maximal_segments, pair_statistics
 
 CLEAN = ["今天的天氣很好，我們去公園散步，孩子們在草地上跑來跑去。", "圖書館在車站旁邊，每天早上九點開門，晚上八點關門。", "The library near the station opens at nine every morning.", "Après l'été, la forêt où l'âge importe peu reste très appréciée.", "El año pasado la película llegó después del otoño.", "Сегодня хорошая погода, и мы гуляем в парке.", "오늘은 날씨가 좋아서 공원에 갔습니다.", "東京の図書館は九時に開きます。", "«Très» dit-elle… l’été 😀 ❤️", ""]
 
@@ -78,3 +78,21 @@ def test_text_that_was_decoded_wrongly_four_times(spark):
     four = wrong(wrong(wrong(wrong(CLEAN[1]))))
     df = spark.createDataFrame([*[(i, CLEAN[i % len(CLEAN)]) for i in range(400)], (1000, four)], "k long, text string")
     assert [(r.k, r.restored) for r in find_garbled(df, "k").collect()] == [(1000, CLEAN[1])]
+
+
+def test_lost_characters_are_found_by_their_runs(spark):
+    texts = ["今天的天氣很好。" * 20] * 30 + ["�", "好�", "�好", "好\x81的", "ok"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in find_garbled(df, "doc_id").collect()) == [30, 31, 32, 33]
+
+
+def test_the_table_of_pairs_grows_with_the_corpus(spark):
+    """Recall doesn't fall where the first table is far too small for the corpus' pairs."""
+    r = random.Random(3)
+    sound = ["".join(chr(0x4E00 + r.randrange(600)) for _ in range(200)) for _ in range(60)] + ["今天的天氣很好，我們去公園散步。" * 5] * 40
+    broken = [("天氣很好" * 3).encode().decode("cp1252", "replace") if i % 2 else "咖啡很好喝，天氣很好。".encode().decode("latin-1") for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(sound + broken)), "doc_id long, text string")
+    small, grown = pair_statistics(df, bits=10, most_bits=10), pair_statistics(df, bits=10)
+    assert small.bits == 10 and grown.bits > 14
+    found = lambda stats: {x.doc_id for x in find_garbled(df, "doc_id", stats=stats).collect()}
+    assert found(grown) == found(pair_statistics(df)) == set(range(100, 120))

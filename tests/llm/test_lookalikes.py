@@ -1,6 +1,6 @@
 import pytest
 
-from strandmill.llm.lookalikes import consistent, find_disguised, look_alike_groups, with_forms
+from strandmill.llm.lookalikes import consistent, find_disguised, look_alike_groups, skeleton, with_forms
 
 
 @pytest.mark.parametrize(
@@ -41,3 +41,8 @@ def test_accented_letters_share_a_skeleton(spark):
     skeletons = {r.k: r.skeleton for r in with_forms(df, "t").collect()}
     assert [skeletons[i] for i in range(len(texts))] == ["Zoë"] * 4 + ["Zoe", "ó", "ó", "ó", "Ó", "ï", "ï", "\u0439"]
     assert sorted(r.n_originals for r in look_alike_groups(df, "k", "t").collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize("text,form", [("a\u2003b", "a b"), ("a-b", "a-b"), ("\u00a0", " "), ("\U0001d400\U0001d7ce", "A0"), ("ﾄﾞ", "ド"), ("e\u0301", "é"), ("\U0001d6c2", "a")])
+def test_skeletons_of_single_characters(text, form):
+    assert skeleton(text) == form and skeleton(form) == form

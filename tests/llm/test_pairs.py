@@ -39,3 +39,13 @@ def test_operator(spark):
     found = find_broken_pairs(responses, items)
     assert {tuple(r) for r in found.select("response_id", "defect_type").collect()} == {("1", "empty")}
     assert find_broken_pairs(responses.limit(0), items).count() == find_broken_pairs(responses, items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Mi dispiace, ma non posso rispondere a questa domanda.", "Przykro mi, nie mogę odpowiedzieć.", "I would prefer to leave this question unanswered, as it touches on private matters.", "Helaas kan ik deze vraag niet beantwoorden.", "Maaf, saya tidak dapat menjawab pertanyaan ini.", "ขออภัย ไม่สามารถตอบได้", "На жаль, я не можу відповісти."])
+def test_refusals_of_more_languages(text):
+    assert defects(text, "請說明這項政策的影響。", None)[0] == "refusal"
+
+
+@pytest.mark.parametrize("text,expected", [("Il gatto dorme sopra il tetto rosso.", True), ("BERT, GPT, LLaMA, Gemma, Mistral", False), ("TRUE", False), ("答案是 TRUE，因為資料充足。", False)])
+def test_prose_of_another_script_needs_no_frequent_words(text, expected):
+    assert ("other_language" in defects(text, "請說明這項政策的影響。", None)) == expected
