@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Fixed values.
+# Phrases, prefixes and markers that results must share with the compatible pipeline.
 QUESTION_PHRASES = ("根據文章內容，", "根據文章，", "依據文章內容，", "依據文章，", "根據本文，", "依據本文，", "在文章中，", "在文中，", "文章中", "文中", "本文", "這篇文章")
 STANCE_PHRASES = ("作者對", "作者將", "作者", "其", "看法", "想法", "態度", "立場", "觀點", "正面", "負面", "讚賞", "批評", "支持", "反對")
 EXCLUDED_TITLES = ("re:", "fw:", "[公告]", "公告")
 BANNED_QUESTION_STARTS = ("主角", "上映日期", "提到的", "這部", "這篇", "這則", "該文", "該篇", "其")
 BANNED_QUESTION_PHRASES = ("文章中", "文中", "本文", "根據文章", "依據本文", "這篇文章")
-FULL_WIDTH_OPTIONS = ("ＡＢＣＤａｂｃｄabcd①②③④１２３４", "ABCDABCDABCD12341234")
+TOPIC_NAMES = ("prompt", "threads", "post", "tweet", "ai", "chatgpt", "gemini")
+TOPIC_MARKERS = ("a high-resolution", "cinematic", "saved face reference", "style & attire", "black canvas utility jacket", "voluminous dark espresso hair", "sharp, angular jawline", "prompt", "midjourney", "stable diffusion")
+STANCES = ("pro", "con", "支持", "反對")
+BODY_LABELS = ("看板 Movie", "作者", "標題", "時間")
+BODY_ENDS = ("※ 發信站: 批踢踢實業坊", "--")
+QUESTION_LEADS, QUESTION_SOURCES = ("根據", "依據"), ("文章內容", "文章", "本文")
+QUESTION_PLACES = ("文章中", "文中")
+SUBJECT_NOUNS = ("公司", "電影", "影集", "作品", "球隊", "學校", "政府", "事件", "計畫", "政策", "平台", "品牌", "角色", "主角")
+# Options' marks by rule: small letters, full-width letters, circled and full-width digits.
+_MARKS = "abcd" + "".join(chr(first + i) for first in (0xFF21, 0xFF41, 0x2460, 0xFF11) for i in range(4))
+FULL_WIDTH_OPTIONS = (_MARKS, unicodedata.normalize("NFKC", _MARKS).upper())
 EMOJI = r"[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{200D}]+"
 
 
@@ -44,12 +58,22 @@ def strip_tags(c: Column, size: int) -> Column:
     return strip(F.substring(F.regexp_replace(c, "<[^>]+>", ""), 1, size))
 
 
-def article_body(c: Column, stops: tuple[str, ...] = ("--", "※ 發信站"), labels: tuple[str, ...] = ("作者", "看板", "標題", "時間")) -> Column:
-    """Lines up to the first signature, without label lines."""
-    lines = F.split(c, "\n")
-    stop = F.array_position(F.transform(lines, lambda x: F.when((strip(x) == stops[0]) | F.startswith(strip(x), F.lit(stops[1])), 1).otherwise(0)), 1)
+def article_body(c: Column, ends: tuple[str, ...] = BODY_ENDS, labels: tuple[str, ...] = BODY_LABELS) -> Column:
+    """Lines up to the first that begins with an end mark, without lines that are nothing but a label; trailing space of lines and runs of empty lines go."""
+    lines = F.transform(F.split(normal_newlines(c), "\n"), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    ended = lambda x: F.startswith(strip(x), F.lit(ends[0])) | F.startswith(strip(x), F.lit(ends[1]))
+    stop = F.array_position(F.transform(lines, lambda x: F.when(ended(x), 1).otherwise(0)), 1)
     kept = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
-    return strip(F.array_join(F.filter(kept, lambda x: ~x.rlike("^(" + "|".join(labels) + ")")), "\n"))
+    return normal_newlines(F.array_join(F.filter(kept, lambda x: ~strip(x).isin(*labels)), "\n"))
+
+
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else unescape(t))
+
+
+def clean_text(c: Column) -> Column:
+    """HTML entities (the standard library's table), then newlines; only texts with an ampersand go to Python."""
+    return normal_newlines(F.coalesce(F.pandas_udf(_unescaped, "string")(F.when(F.contains(c, F.lit("&")), c)), c))
 
 
 def thread_text(post: Column, replies: Column) -> Column:
@@ -75,9 +99,11 @@ def _without(c: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def clean_question(c: Column) -> Column:
-    """X09."""
+    """Without phrases that point at the article, wherever and then at the beginning."""
+    gap = r"[，,、]?\s*"
     c = _without(strip(c), QUESTION_PHRASES)
-    c = F.regexp_replace(F.regexp_replace(c, r"^(根據|依據)(文章內容|文章|本文)[，,、]?\s*", ""), r"^(在)?(文章中|文中)[，,、]?\s*", "")
+    c = F.regexp_replace(c, f"^(?:{'|'.join(QUESTION_LEADS)})(?:{'|'.join(QUESTION_SOURCES)}){gap}", "")
+    c = F.regexp_replace(c, f"^在?(?:{'|'.join(QUESTION_PLACES)}){gap}", "")
     return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^[ ，,、]+|[ ，,、]+$", "")
 
 
@@ -124,6 +150,11 @@ def brief(c: Column, size: int = 80) -> Column:
     return F.when(F.length(line) > size, F.concat(F.substring(line, 1, size - 3), F.lit("..."))).otherwise(line)
 
 
+def cut_text(c: Column, size: int) -> Column:
+    """longer texts are cut and end with an ellipsis."""
+    return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size), F.lit("…"))).otherwise(c)
+
+
 def normal_option(c: Column) -> Column:
     """Full-width and circled options."""
     return F.translate(c, *FULL_WIDTH_OPTIONS)
@@ -179,14 +210,16 @@ def complete_question(c: Column) -> Column:
         banned = banned | F.startswith(q, F.lit(p))
     for p in BANNED_QUESTION_PHRASES:
         banned = banned | F.contains(q, F.lit(p))
-    named = q.rlike("[《〈「『].+[》〉」』]") | q.rlike(r"[A-Za-z0-9\x{4E00}-\x{9FFF}]{2,}(公司|電影|影集|作品|球隊|學校|政府|事件|計畫|政策|平台|品牌|角色|主角)") | q.rlike(r"^[A-Za-z0-9\x{4E00}-\x{9FFF}]{2,}")
+    word = r"[A-Za-z0-9\x{4E00}-\x{9FFF}]{2,}"
+    named = q.rlike(f"[《〈「『].+[》〉」』]|{word}(?:{'|'.join(SUBJECT_NOUNS)})|^{word}")
     return (q != "") & named & ~banned
 
 
 def push_count(c: Column) -> Column:
-    """Blank 0, a burst 100, X and a digit negative tens, else the number or 0."""
-    t = strip(F.coalesce(c, F.lit("")))
-    return F.when(t == "", 0).when(t == "爆", 100).when(F.startswith(t, F.lit("X")), F.coalesce(F.expr("-10") * F.substring(t, 2, 9).try_cast("int"), F.lit(-10))).otherwise(F.coalesce(t.try_cast("int"), F.lit(0)))
+    """Blank 0, a burst 100, X and digits that number below 0, else the whole number or 0."""
+    t = collapse_space(F.coalesce(c, F.lit("")))
+    below = F.when(t.rlike(r"^X[0-9]+$"), -F.substring(t, 2, 9).try_cast("int"))
+    return F.when(t == "", 0).when(t == "爆", 100).otherwise(F.coalesce(below, F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("int")), F.lit(0)))
 
 
 def push_sign(c: Column) -> Column:
@@ -230,3 +263,59 @@ def first_option(c: Column) -> Column:
 def first_truth(c: Column) -> Column:
     """The first TRUE or FALSE without a letter, digit or underscore of any script beside it; '' if there is none."""
     return F.regexp_extract(F.upper(c), r"(?<![\p{L}\p{N}_])(TRUE|FALSE)(?![\p{L}\p{N}_])", 1)
+
+
+def rejected_topic(topic: Column, content: Column) -> Column:
+    """F16: too short, a name of a service, a marker of image prompts in it, the content itself, or a prompt about such a content."""
+    t, c = strip(F.coalesce(topic, F.lit(""))), strip(F.coalesce(content, F.lit("")))
+    low, body = F.lower(t), F.lower(c)
+    marked = lambda x: F.exists(F.array(*map(F.lit, TOPIC_MARKERS)), lambda m: F.contains(x, m))
+    about = F.contains(t, F.lit("描述")) | F.contains(low, F.lit("prompt"))
+    return (F.length(t) < 8) | low.isin(*TOPIC_NAMES) | marked(low) | ((c != "") & (low == body)) | (marked(body) & about)
+
+
+def stance_reject_reason(topic: Column, content: Column, stance: Column, post: Column, replies: Column) -> Column:
+    """the first of four reasons that holds; null for a row that is kept."""
+    post = strip(F.coalesce(F.nullif(post, F.lit("")), topic, F.lit("")))
+    whole = F.coalesce(F.nullif(content, F.lit("")), post)
+    reasons = F.when(rejected_topic(topic, whole), "invalid_topic").when(~F.lower(strip(F.coalesce(stance, F.lit("")))).isin(*STANCES), "unsupported_stance")
+    return reasons.when(strip(F.coalesce(replies, F.lit(""))) == "", "no_replies").when(~supported_language(post), "unsupported_language")
+
+
+def judged_score(text: Column) -> Column:
+    """JS-3: struct (score, reason): a judge's JSON with a whole score, kept within 1 and 5; else a null score and why."""
+    body = unfenced(text)
+    ok = F.coalesce(F.try_parse_json(body).isNotNull(), F.lit(False)) & F.startswith(F.ltrim(body), F.lit("{"))
+    raw = F.get_json_object(body, "$.score")
+    number = F.when(raw.rlike(r"^\s*[+-]?[0-9]+\s*$"), raw.try_cast("int")).when(raw.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), raw.try_cast("double").cast("int"))
+    reason = F.when(~ok, "not JSON").when(raw.isNull(), "no score").when(number.isNull(), "score is no number").otherwise(F.coalesce(F.get_json_object(body, "$.reasoning"), F.lit("")))
+    return F.struct(F.when(ok, clamp(number, 1, 5)).alias("score"), reason.alias("reason"))
+
+
+def rate_limit_delay(error: Column, now: Column) -> Column:
+    """T-6: seconds to the time after 'Limit resets at:' and one more, within 1 and 30; 5 where there is none."""
+    told = F.try_to_timestamp(F.regexp_extract(error, r"Limit resets at:\s*([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(30.0), (told.cast("double") - now.cast("double")) + 1.0)), F.lit(5.0))
+
+
+def percent(c: Column, places: int = 1) -> Column:
+    """A share as a percent text."""
+    return F.format_string(f"%.{places}f%%", F.round(c * 100, places))
+
+
+def path_list(c: Column) -> Column:
+    """The entries of a list of paths: quoted ones as they are, others between commas and lines; empty ones go."""
+    found = F.regexp_extract_all(c, F.lit(r"\"([^\"]*)\"|'([^']*)'|([^,\n\"']+)"), F.lit(0))
+    return F.filter(F.transform(found, lambda x: strip(F.regexp_replace(strip(x), r"^[\"']|[\"']$", ""))), lambda x: x != "")
+
+
+def mount_path(c: Column) -> Column:
+    """A drive letter's path as a path below /mnt; others stay."""
+    drive = F.regexp_extract(c, r"^([A-Za-z]):[\\/]", 1)
+    return F.when(drive != "", F.concat(F.lit("/mnt/"), F.lower(drive), F.lit("/"), F.translate(F.substring(c, 4, 1 << 20), "\\", "/"))).otherwise(c)
+
+
+def label_list(c: Column, known: tuple[str, ...] = ()) -> Column:
+    """M22 (and D10 with `known`): labels between commas in order, each once; labels that aren't known go only where some are given."""
+    own = F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,，\n]"), strip), lambda x: x != ""))
+    return F.filter(own, lambda x: x.isin(*known)) if known else own

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandmill.functions.keys import comparable_key
-from strandmill.functions.text import first_option, first_truth, json_text, last_line, strip
+from strandmill.functions.text import excluded_title, first_option, first_truth, json_text, last_line, strip
 
 
 def keep(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], last: bool = False) -> DataFrame:
@@ -50,6 +50,34 @@ def result_rows(items: DataFrame, responses: DataFrame, scores: DataFrame) -> Da
     return r.join(i, "item_key").join(s, ["item_key", "model_key"], "left")
 
 
+def item_model_rows(items: DataFrame, responses: DataFrame, scores: DataFrame) -> DataFrame:
+    """Every item once for each model that answered any: fields of the item, the response and the score, null where there is none.
+
+    The result has items x models rows by definition; there is a row for each model name, which are configured, not data that grow.
+    """
+    i = latest_items(items).select("item_key", F.lower("task_type").alias("task_type"), "title", "prompt", "reference_answer")
+    r = latest_responses(responses).select("item_key", F.lower("model_name").alias("model_key"), "id", "response_text", "error", "loaded_at")
+    r = keep(r, ["item_key", "model_key"], [F.col("loaded_at"), F.col("id")], last=True).drop("loaded_at")
+    models = responses.select(F.lower("model_name").alias("model_key")).filter("model_key is not null").distinct()
+    pairs = i.crossJoin(F.broadcast(models))
+    s = latest_scores(scores).select("item_key", "model_key", "score")
+    return pairs.join(r, ["item_key", "model_key"], "left").join(s, ["item_key", "model_key"], "left")
+
+
+def passes(items: DataFrame, responses: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row: n_items, n_responses, errors, n_scores, all_qa, reason ('' if passed), passed; the first rule that fails gives the reason."""
+    i = latest_items(items).agg(F.count("*").alias("n_items"), F.coalesce(F.bool_and(F.coalesce(F.lower("task_type") == "qa", F.lit(False))), F.lit(False)).alias("all_qa"))
+    r = latest_responses(responses).agg(F.count("*").alias("n_responses"), F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"))
+    v = valid_score(F.col("score"))
+    s = scores.agg(F.count(v).alias("n_scores"), F.coalesce(F.min(v) == F.max(v), F.lit(False)).alias("identical"), F.count_if(v == 5).alias("fives"), F.count_if(v == 1).alias("ones"))
+    # Three single rows.
+    one = i.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(s))
+    skewed = (F.col("n_scores") >= 2) & ~F.col("all_qa")
+    reason = F.when(F.col("n_items") == 0, "no items").when((F.col("n_responses") > 0) & (F.col("errors") == F.col("n_responses")), "all errors").when((F.col("n_responses") > 0) & (F.col("n_scores") == 0), "no scores")
+    reason = reason.when(skewed & F.col("identical"), "identical").when(skewed & (F.col("fives") > 0.9 * F.col("n_scores")), "all high").when(skewed & (F.col("ones") > 0.9 * F.col("n_scores")), "all low").otherwise("")
+    return one.withColumn("reason", reason).select("n_items", "n_responses", "errors", "n_scores", "all_qa", "reason", (F.col("reason") == "").alias("passed"))
+
+
 def valid_score(c: Column) -> Column:
     return F.when(c.between(1, 5), c)
 
@@ -96,7 +124,7 @@ def rule_score_true_false(task: Column, reference: Column, response: Column, err
     return F.when((task == "true_false") & right.isin("TRUE", "FALSE"), F.when(said == right, 5).otherwise(1))
 
 
-def rule_score_choice(task: Column, reference: Column, response: Column, error: Column, kinds: tuple[str, ...] = ("choice", "選擇題")) -> Column:
+def rule_score_choice(task: Column, reference: Column, response: Column, error: Column, kinds: tuple[str, ...] = ("選擇題",)) -> Column:
     """The right answer may be any part of 'ABCD'."""
     right = F.upper(strip(json_text(reference, "answer")))
     said = first_option(F.coalesce(F.nullif(response, F.lit("")), error, F.lit("")))
@@ -126,6 +154,52 @@ def scoring_consistency(rows: DataFrame) -> DataFrame:
     return a.select("n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "lowest", "highest", (F.col("lowest") == F.col("highest")).alias("identical"), ((F.col("n") > 1) & (F.col("deviation") < 0.3)).alias("narrow"), (F.col("most") > 0.9 * F.col("n")).alias("extreme"))
 
 
+ARTICLE_REASONS = ("duplicate", "min_push_count", "title_prefix", "title_contains", "empty_content", "date_start", "date_end", "min_text_length", "text_contains")
+
+
+def article_reject_reason(title: Column, content: Column, date: Column, pushes: Column, least_pushes: int = 0, prefixes: tuple[str, ...] = (), title_part: str = "", text_part: str = "", start: str = "", end: str = "", least_length: int = 0) -> Column:
+    """The first of the loader's reasons to leave out an article, null for one that is kept; an article without a date passes the dates."""
+    held = F.coalesce(content, F.lit(""))
+    rules = [("min_push_count", F.coalesce(pushes, F.lit(0)) < least_pushes), ("title_prefix", excluded_title(title, prefixes))]
+    if title_part:
+        rules.append(("title_contains", ~F.contains(F.lower(F.coalesce(title, F.lit(""))), F.lit(title_part.lower()))))
+    rules.append(("empty_content", held == ""))
+    if start:
+        rules.append(("date_start", F.coalesce(date < start, F.lit(False))))
+    if end:
+        rules.append(("date_end", F.coalesce(date > end, F.lit(False))))
+    rules.append(("min_text_length", F.length(held) < least_length))
+    if text_part:
+        rules.append(("text_contains", ~F.contains(F.lower(held), F.lit(text_part.lower()))))
+    out = F.lit(None).cast("string")
+    for name, fails in reversed(rules):
+        out = F.when(fails, name).otherwise(out)
+    return out
+
+
+def load_articles(articles: DataFrame, pushes: DataFrame, **options) -> DataFrame:
+    """article_id, title, content, month, pushes, reason of every delivery; of those without a reason of their own all but the first (by posted_at, content) are duplicates.
+
+    `articles` has article_id, title, content, posted_at; `pushes` article_id and sign. Only accepted articles count as seen.
+    """
+    n = pushes.groupBy("article_id").agg(F.sum("sign").alias("pushes"))
+    a = articles.join(n, "article_id", "left").withColumn("pushes", F.coalesce("pushes", F.lit(0)))
+    date = F.date_format("posted_at", "yyyy-MM-dd")
+    a = a.select("article_id", "title", "content", F.coalesce(F.date_format("posted_at", "yyyyMM"), F.lit("")).alias("month"), "posted_at", "pushes", article_reject_reason(F.col("title"), F.col("content"), date, F.col("pushes"), **options).alias("reason"))
+    taken = a.filter("reason is null").groupBy("article_id").agg(F.min(F.struct("posted_at", "content", "title", "month", "pushes")).alias("first"), F.count("*").alias("n"))
+    kept = taken.select("article_id", "first.title", "first.content", "first.month", "first.pushes", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("n"))
+    twice = taken.filter("n > 1").select("article_id", "first.title", "first.content", "first.month", "first.pushes", F.lit("duplicate").alias("reason"), (F.col("n") - 1).alias("n"))
+    refused = a.filter("reason is not null").groupBy("article_id", "title", "content", "month", "pushes", "reason").agg(F.count("*").alias("n"))
+    return kept.unionByName(twice).unionByName(refused)
+
+
+def load_report(loaded: DataFrame) -> DataFrame:
+    """Reason, n: how many deliveries each reason left out, 0 for reasons that don't occur, and 'accepted'."""
+    counts = loaded.groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.sum("n").alias("n"))
+    spine = loaded.sparkSession.createDataFrame([(x,) for x in (*ARTICLE_REASONS, "accepted")], "reason string")
+    return F.broadcast(spine).join(counts, "reason", "left").fillna(0, ["n"])
+
+
 def reject_reasons(responses: DataFrame, items: DataFrame) -> DataFrame:
     """reason, n: the first reason that holds for a response, with 0 for reasons that don't occur."""
     known = items.select(comparable_key("id").alias("item_key")).distinct().withColumn("there", F.lit(True))

@@ -59,10 +59,17 @@ def request_metrics(rows: DataFrame, measure: str = "latency_ms", quantiles: tup
     )
 
 
-def timing_percentiles(rows: DataFrame, measure: str, quantiles: tuple[float, ...]) -> DataFrame:
-    """scenario, server, level, n, p..: nearest-rank percentiles of another timing; groups without values have no row."""
-    found = order_statistics(latency_state(rows, measure), [("nearest", q) for q in quantiles], expected_rows=rows.count())
-    return found.select(F.col("k0").alias("scenario"), F.col("k1").alias("server"), F.col("period").alias("level"), F.col("total").alias("n"), *[F.col("values")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)])
+def timing_percentiles(rows: DataFrame, measure: str, quantiles: tuple[float, ...], average: bool = False) -> DataFrame:
+    """scenario, server, level, n, p.. (and avg): nearest-rank percentiles of another timing; groups without values have no row. Averages come from decimal sums, so they don't depend on the order of rows."""
+    state = latency_state(rows, measure)
+    found = order_statistics(state, [("nearest", q) for q in quantiles], expected_rows=rows.count())
+    columns = [F.col("k0").alias("scenario"), F.col("k1").alias("server"), F.col("period").alias("level"), F.col("total").alias("n"), *[F.col("values")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)]]
+    if not average:
+        return found.select(*columns)
+    ok = F.col("error").isNull() & F.col(measure).isNotNull() & ~F.isnan(F.col(measure).cast("double"))
+    means = both_groupings(rows.filter(ok), (F.sum(F.col(measure).cast("decimal(28,9)")).cast("double") / F.count("*")).alias("avg")).select(*[F.col(c).alias(f"m_{c}") for c in (*KEYS, "per_level", "level")], "avg")
+    on = found["k0"].eqNullSafe(means["m_scenario"]) & found["k1"].eqNullSafe(means["m_server"]) & found["period"].eqNullSafe(means["m_level"]) & (found["per_period"] == means["m_per_level"])
+    return found.join(means, on).select(*columns, "avg")
 
 
 def token_and_retry_ratios(rows: DataFrame) -> DataFrame:

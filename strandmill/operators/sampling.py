@@ -1,7 +1,8 @@
 """Samplers with quotas by bucket, made deterministic: rows are ordered by a hash of their key and a seed.
 
-A bucket may hold a third of all rows. Only the first `size` rows of a bucket can be chosen, so each partition keeps its
-first ones (a struct aggregate per bucket and hash slice) before any window.
+A bucket may hold a third of all rows. Only the first `size` rows of a bucket can be chosen: ranks are limited in each of
+64 hash slices of a bucket first, and Spark keeps no more than `size` rows of a slice in any task before the shuffle
+(WindowGroupLimit; `tests/test_plans.py` looks for it in the plan).
 """
 
 from __future__ import annotations
@@ -46,14 +47,32 @@ def guaranteed_sample(rows: DataFrame, bucket: str, key: str, labels: Sequence[s
 
 
 def cycled(prompts: DataFrame, order: str, runs: int) -> DataFrame:
-    """`runs` rows, the prompts in order over and over. The prompts of a scenario are a small list and are broadcast by count."""
-    # Prompts of one scenario file: a window over all of them.
-    numbered = prompts.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(order)) - 1)
-    total = numbered.count()
+    """`runs` rows, the prompts in order over and over; places come from a range sort, so that no task holds all prompts."""
+    pool, total = numbered(prompts, [F.col(order)])
     if not total:
-        return numbered.withColumn("run", F.lit(None).cast("long"))
-    spine = prompts.sparkSession.range(runs).withColumnRenamed("id", "run").withColumn("place", (F.col("run") % total).cast("int"))
-    return spine.join(numbered, "place")
+        return prompts.withColumn("run", F.lit(None).cast("long"))
+    spine = prompts.sparkSession.range(runs).withColumnRenamed("id", "run").withColumn("i", F.col("run") % total)
+    return spine.join(pool, "i").drop("i")
+
+
+def balanced_sample(rows: DataFrame, bucket: str, key: str, size: int, seed: int = 0) -> DataFrame:
+    """`size` rows spread evenly over all buckets, in the buckets' order of their least key; buckets with too few rows are made up for by rows of the others.
+
+    A null bucket is a bucket. With no more rows than `size` all come out. The labels are grouped before; those with a quota
+    are at most `size` (the first ones have one row each where there are more buckets than rows).
+    """
+    head = ordered_head(rows, bucket, key, size, seed)
+    firsts = rows.groupBy(bucket).agg(F.min(F.col(key)).alias("first_key"))
+    n = firsts.count()
+    if not n:
+        return rows
+    base, more = divmod(size, n)
+    # One row a bucket that has a quota beyond the base.
+    extra = firsts.orderBy("first_key").limit(more).select(F.col(bucket).alias("_b"), F.lit(1).alias("_more"))
+    with_quota = head.join(F.broadcast(extra), head[bucket].eqNullSafe(extra["_b"]), "left").withColumn("within", F.col("place") <= base + F.coalesce("_more", F.lit(0))).drop("_b", "_more")
+    # At most `size` rows within the quotas, and as many of the rest, come to the last sort.
+    chosen = with_quota.orderBy(F.col("within").desc(), "draw", F.col(key).cast("string")).limit(size)
+    return chosen.select(*rows.columns)
 
 
 def numbered(rows: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, int]:

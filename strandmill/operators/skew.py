@@ -6,16 +6,20 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Rows of one key that a task takes; keys with more are spread.
 ROWS_PER_TASK = 100_000
+#: Keys that are spread at most; where more keys are hot the rows of a task grow instead of the list.
+MOST_HOT_KEYS = 10_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Inner join of `left` with `right`, which has few rows a key; rows of `left` of a hot key are spread over salts.
 
-    Counts are combined before the shuffle, and only keys with more than `rows_per_task` rows come to the driver, which
-    are at most rows / rows_per_task. Rows with a null key are in no result.
+    Counts are combined before the shuffle, and only keys with more than `rows_per_task` rows, or a ten-thousandth of all
+    rows if that is more, come to the driver: at most MOST_HOT_KEYS. Rows with a null key are in no result.
     """
     spark = left.sparkSession
-    hot = [(r[key], -(-r["n"] // rows_per_task)) for r in left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task).collect()]
+    keyed = left.select(key).filter(F.col(key).isNotNull())
+    rows_per_task = max(rows_per_task, -(-keyed.count() // MOST_HOT_KEYS))
+    hot = [(r[key], -(-r["n"] // rows_per_task)) for r in keyed.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows_per_task).collect()]
     if not hot:
         return left.join(right, key)
     salts = F.broadcast(spark.createDataFrame(hot, f"{key} {dict(left.dtypes)[key]}, salts int"))

@@ -32,22 +32,37 @@ def cooling(scores: DataFrame, top: int = 10, below: float = -0.2) -> DataFrame:
     return scores.orderBy("score", "topic").limit(top).filter(F.col("score") < below)
 
 
+# Labels of weekly changes and of momentum, from the least ratio upwards.
+NEW, NO_CHANGE = "new", "—"
+MOMENTUM = ((2.0, "急速加速 🚀"), (1.3, "穩定上升 ↗"), (0.8, "持平震盪 ↔"), (0.5, "緩慢退燒 ↘"), (0.0, "快速冷卻 ❄"))
+
+
+def weeks(days: DataFrame) -> DataFrame:
+    """topic, week, i, n, total: every week from the first to the last of all topics, 0 where a topic has none; i counts from 0."""
+    own = days.groupBy("topic", F.date_trunc("week", F.col("date")).cast("date").alias("week")).agg(F.sum("total").alias("total"))
+    span = days.agg(F.date_trunc("week", F.min("date")).cast("date").alias("a"), F.date_trunc("week", F.max("date")).cast("date").alias("b"))
+    # One row a week of the calendar.
+    spine = span.filter("a is not null").select(F.posexplode(F.sequence("a", "b", F.expr("INTERVAL 7 DAY"))).alias("i", "week"), (F.datediff("b", "a") / 7 + 1).cast("int").alias("n"))
+    every = own.select("topic").distinct().crossJoin(F.broadcast(spine))
+    return every.join(own, ["topic", "week"], "left").select("topic", "week", "i", "n", F.coalesce("total", F.lit(0)).alias("total"))
+
+
 def weekly_changes(days: DataFrame) -> DataFrame:
-    """topic, week, total, change (%): null for a topic's first week and after a week of 0, with a label."""
-    weeks = days.groupBy("topic", F.date_trunc("week", F.col("date")).cast("date").alias("week")).agg(F.sum("total").alias("total"))
+    """Topic, week, total, label: the change to the week before in whole percent; 'new' after a week of 0, a dash for the first."""
     before = F.lag("total").over(Window.partitionBy("topic").orderBy("week"))
-    c = weeks.withColumn("before", before)
-    change = F.when(F.col("before") > 0, (F.col("total") - F.col("before")) / F.col("before") * 100)
-    label = F.when(F.col("before").isNull(), "—").when(F.col("before") == 0, F.when(F.col("total") > 0, "new").otherwise("—")).otherwise("change")
-    return c.select("topic", "week", "total", F.round(change, 6).alias("change"), label.alias("label"))
+    c = weeks(days).withColumn("before", before)
+    percent = F.bround((F.col("total") - F.col("before")) / F.col("before") * 100, 0).cast("long")
+    signed = F.concat(F.when(F.col("total") >= F.col("before"), "+").when(percent == 0, "-").otherwise(""), percent.cast("string"), F.lit("%"))
+    label = F.when(F.col("before").isNull(), NO_CHANGE).when(F.col("before") == 0, F.when(F.col("total") > 0, NEW).otherwise(NO_CHANGE)).otherwise(signed)
+    return c.select("topic", "week", "total", label.alias("label"))
 
 
 def momentum(days: DataFrame) -> DataFrame:
-    """topic, ratio, momentum, peak_date: sums of the later half of a topic's days by those of the earlier half (0 counts as 1); the first day of the peak."""
-    place = Window.partitionBy("topic").orderBy("date")
-    numbered = days.withColumn("i", F.row_number().over(place) - 1).withColumn("n", F.count("*").over(Window.partitionBy("topic")))
+    """Topic, ratio, momentum, peak_week: weeks of the later half by those of the earlier (0 counts as 1); the first week of the peak."""
     early = F.col("i") < F.floor(F.col("n") / 2)
-    a = numbered.groupBy("topic").agg(F.sum(F.when(early, F.col("total")).otherwise(0)).alias("e"), F.sum(F.when(early, 0).otherwise(F.col("total"))).alias("l"), F.count("*").alias("n"), F.max_by("date", F.struct("total", -F.col("i"))).alias("peak_date"))
+    a = weeks(days).groupBy("topic").agg(F.sum(F.when(early, F.col("total")).otherwise(0)).alias("e"), F.sum(F.when(early, 0).otherwise(F.col("total"))).alias("l"), F.max("n").alias("n"), F.max_by("week", F.struct("total", -F.col("i"))).alias("peak_week"))
     ratio = F.col("l") / F.when(F.col("e") == 0, 1).otherwise(F.col("e"))
-    kind = F.when(F.col("n") < 2, "").when(ratio >= 2.0, "surging").when(ratio >= 1.3, "rising").when(ratio >= 0.8, "flat").when(ratio >= 0.5, "cooling").otherwise("falling")
-    return a.select("topic", F.round(ratio, 6).alias("ratio"), kind.alias("momentum"), "peak_date")
+    kind = F.when(F.col("n") < 2, "")
+    for least, name in MOMENTUM:
+        kind = kind.when(ratio >= least, name)
+    return a.select("topic", F.round(ratio, 6).alias("ratio"), kind.alias("momentum"), "peak_week")

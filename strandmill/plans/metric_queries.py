@@ -37,9 +37,9 @@ def a05(spark, folder):
     return m.timing_percentiles(table(spark, folder, "request_records"), "ttfb_ms", (0.5, 0.9, 0.95))
 
 
-@METRICS.add("A05_wait_percentiles", f"WITH {_BOTH}, ranked AS ({_ranked('wait_ms')}) SELECT scenario, server, level, count(*) AS n, {_pct(50)} AS p50, {_pct(95)} AS p95 FROM ranked GROUP BY ALL")
+@METRICS.add("A05_wait_percentiles", f"WITH {_BOTH}, ranked AS ({_ranked('wait_ms')}) SELECT scenario, server, level, count(*) AS n, {_pct(50)} AS p50, {_pct(95)} AS p95, CAST(sum(CAST(v AS DECIMAL(28, 9))) AS DOUBLE) / count(*) AS avg FROM ranked GROUP BY ALL")
 def a05_wait(spark, folder):
-    return m.timing_percentiles(table(spark, folder, "request_records"), "wait_ms", (0.5, 0.95))
+    return m.timing_percentiles(table(spark, folder, "request_records"), "wait_ms", (0.5, 0.95), average=True)
 
 
 @METRICS.add("A06_A07_token_and_retry_ratios", f"WITH {_BOTH} SELECT scenario, server, level, round(avg(CAST(coalesce(output_tokens_approx, false) AS DOUBLE)) FILTER (WHERE output_tokens IS NOT NULL), 6) AS approx_ratio, CAST(sum(coalesce(retries, 0)) AS BIGINT) AS retries_total, round(sum(coalesce(retries, 0)) / count(*), 6) AS retry_rate FROM both_levels GROUP BY ALL")

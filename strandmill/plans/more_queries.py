@@ -8,7 +8,7 @@ from strandmill.functions import text as t
 from strandmill.operators import bank as b, sampling
 from strandmill.operators.topk import top_per_group
 from strandmill.plans import fragments as q
-from strandmill.plans.bank_queries import _STATEMENT, results
+from strandmill.plans.bank_queries import _STATEMENT, rejected_topic_sql, results
 from strandmill.plans.registry import Registry
 from strandmill.plans.text_queries import FACETS
 from strandmill.session import table
@@ -109,12 +109,9 @@ def f14(spark, folder):
     return table(spark, folder, "documents").filter(F.col("keyword").isin(*SUBJECTS)).select("doc_id", "keyword")
 
 
-@MORE.add("F16_rejected_topics", f"SELECT doc_id, length({q.strip('title')}) < 8 OR lower({q.strip('title')}) IN ('prompt', 'threads', 'post', 'tweet', 'ai', 'chatgpt', 'gemini') OR contains(lower(title), 'cinematic') OR contains(lower(title), 'prompt') OR coalesce(lower({q.strip('title')}) = lower({q.strip('text')}), false) AS rejected FROM documents WHERE title IS NOT NULL")
+@MORE.add("F16_rejected_topics", f"SELECT doc_id, {rejected_topic_sql('title', 'text')} AS rejected FROM documents WHERE title IS NOT NULL")
 def f16(spark, folder):
-    topic, content = t.strip(F.col("title")), t.strip(F.col("text"))
-    low = F.lower(topic)
-    rejected = (F.length(topic) < 8) | low.isin("prompt", "threads", "post", "tweet", "ai", "chatgpt", "gemini") | F.contains(low, F.lit("cinematic")) | F.contains(low, F.lit("prompt")) | F.coalesce(low == F.lower(content), F.lit(False))
-    return table(spark, folder, "documents").filter("title is not null").select("doc_id", rejected.alias("rejected"))
+    return table(spark, folder, "documents").filter("title is not null").select("doc_id", t.rejected_topic(F.col("title"), F.col("text")).alias("rejected"))
 
 
 @MORE.add("F19_rows_by_index", f"WITH {q.ITEMS}, n AS (SELECT item_key, row_number() OVER (ORDER BY item_key) - 1 AS i FROM items) SELECT w.pos, n.item_key FROM (VALUES (0, 5), (1, 2), (2, 9), (3, 2)) w(pos, i) JOIN n USING (i)")
@@ -148,15 +145,22 @@ def r06(spark, folder):
     return _items(spark, folder).select("item_key").orderBy(_draw("item_key"), "item_key").limit(20)
 
 
-@MORE.add("R05_sample_with_replacement", f"WITH {q.ITEMS}, p AS (SELECT item_key, row_number() OVER (ORDER BY {_DRAW}, item_key) - 1 AS i FROM items LIMIT 1000000), few AS (SELECT * FROM p WHERE i < 7) SELECT d.n, item_key FROM range(20) d(n) JOIN few ON i = (d.n * 5 + d.n * d.n) % 7")
+@MORE.add("R05_sample_with_replacement", f"WITH {q.ITEMS}, p AS (SELECT item_key, row_number() OVER (ORDER BY {_DRAW}, item_key) - 1 AS i, count(*) OVER () AS total FROM items) SELECT d.n, item_key FROM range(20) d(n) JOIN p ON i = CAST('0x' || substr(md5(d.n || '#7'), 1, 15) AS BIGINT) % total")
 def r05(spark, folder):
-    """More draws than rows: each draw takes one of all items, rows repeat; the SQL above still draws from seven."""
+    """More draws than rows: each draw takes one of all items, rows repeat."""
     return sampling.with_replacement(_items(spark, folder).select("item_key"), [_draw("item_key"), F.col("item_key")], 20, 7).select("n", "item_key")
 
 
-@MORE.add("R07_diversified_articles", f"WITH {q.ITEMS}, r AS (SELECT item_key, title, row_number() OVER (PARTITION BY title ORDER BY {_DRAW}, item_key) AS turn FROM items) SELECT item_key, title, turn FROM r WHERE turn <= 2 ORDER BY turn, {_DRAW}, item_key LIMIT 40")
+@MORE.add("R04_balanced_sample", f"WITH {q.ITEMS}, p AS (SELECT item_key, source_category, md5(concat(item_key, '#', 0)) AS draw FROM items), l AS (SELECT source_category, row_number() OVER (ORDER BY min(item_key)) - 1 AS i, count(*) OVER () AS n FROM p GROUP BY 1), r AS (SELECT p.*, row_number() OVER (PARTITION BY p.source_category ORDER BY draw, item_key) AS place, 60 // n + CASE WHEN i < 60 % n THEN 1 ELSE 0 END AS quota FROM p JOIN l ON l.source_category IS NOT DISTINCT FROM p.source_category) SELECT item_key, source_category FROM r ORDER BY place <= quota DESC, draw, item_key LIMIT 60")
+def r04(spark, folder):
+    """Sixty items, evenly over all categories."""
+    return sampling.balanced_sample(_items(spark, folder).select("item_key", "source_category"), "source_category", "item_key", 60)
+
+
+# No SQL: every step of the greedy order depends on the row before; `tests/test_whole_results.py` compares with brute force.
+@MORE.add("R07_diversified_articles")
 def r07(spark, folder):
-    """At most a tenth of n a title, titles in turn, neighbours of different titles and statements; the SQL above takes two a title."""
+    """At most a tenth of n a title, titles in turn, neighbours of different titles and statements."""
     n = 40
     cap = max(1, n // 10)
     i = _items(spark, folder).select("item_key", "title", F.coalesce(F.nullif("title", F.lit("")), F.lit("__unknown__")).alias("bucket"), F.substring(F.coalesce(b.statement(F.col("reference_answer")), F.lit("")), 1, 3).alias("prefix"))
@@ -182,7 +186,7 @@ def u13(spark, folder):
     return d.select("doc_id", F.floor(F.length("text") / 4).alias("input_tokens"), (F.col("doc_id") % 21 + 5).alias("output_tokens"))
 
 
-@MORE.add("MP1_choices_rendered")
+@MORE.add("MP1_choices_rendered", f"WITH {q.ITEMS} SELECT item_key, coalesce(array_to_string(list_sort(list_transform(regexp_extract_all(prompt, '\\(([A-D])\\) ([^\\n(]+)'), lambda x: {q.strip('x')})), chr(10)), '') AS choices FROM items WHERE lower(task_type) = 'school_qa'")
 def mp1(spark, folder):
     """Choices of multiple-choice prompts, by letter, as one text."""
     lines = F.regexp_extract_all("prompt", F.lit(r"\(([A-D])\) ([^\n(]+)"), F.lit(0))

@@ -49,16 +49,17 @@ _scalar("X27_last_line", "benchmark_items", "id", lambda: t.last_line(F.col("pro
 _scalar("F09_emoji_only", "ptt_pushes", "push_id", lambda: t.is_emoji_only(_c()), q.strip(r"regexp_replace(content, '[\x{1F000}-\x{1FFFF}\x{2600}-\x{27BF}\x{FE00}-\x{FE0F}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{200D}]+', '', 'g')") + " = ''", "Nothing but emoji.")
 _scalar("F10_excluded_title", "ptt_articles", "article_id", lambda: t.excluded_title(F.col("title")), f"regexp_matches(lower({q.strip('coalesce(title, chr(32))')}), '^(re:|fw:|\\[公告\\]|公告)')", "Replies, forwards and announcements.")
 _scalar("F15_supported_language", "documents", "doc_id", lambda: t.supported_language(F.col("text")), r"coalesce((len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))) > 0 AND len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]')) <= greatest(len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')), len(regexp_extract_all(text, '[A-Za-z]'))) AND (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]'))) * 10 >= 6 * (len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + len(regexp_extract_all(text, '[A-Za-z]')) + len(regexp_extract_all(text, '[\x{0600}-\x{06ff}]'))), false)", "Mostly ideographs or Latin letters.")
-_scalar("F18_complete_question", "benchmark_items", "id", lambda: t.complete_question(F.col("prompt")), None, "Questions with a named subject.")
+_Q = q.strip("prompt")
+_NAMED = "[A-Za-z0-9\\x{4E00}-\\x{9FFF}]{2,}"
+_F18 = f"({_Q} <> '') AND regexp_matches({_Q}, '[《〈「『].+[》〉」』]|{_NAMED}(?:{'|'.join(t.SUBJECT_NOUNS)})|^{_NAMED}') AND NOT (" + " OR ".join([f"starts_with({_Q}, '{x}')" for x in t.BANNED_QUESTION_STARTS] + [f"contains({_Q}, '{x}')" for x in t.BANNED_QUESTION_PHRASES]) + ")"
+_scalar("F18_complete_question", "benchmark_items", "id", lambda: t.complete_question(F.col("prompt")), _F18, "Questions with a named subject.")
 _scalar("N02_push_sign", "ptt_pushes", "push_id", lambda: t.push_sign(F.col("tag")), f"CASE WHEN starts_with({q.strip('tag')}, '推') THEN 1 WHEN starts_with({q.strip('tag')}, '噓') THEN -1 ELSE 0 END", "+1, -1 or 0.")
 _scalar("N03_clamped_score", "judge_scores", "id", lambda: t.clamp(F.col("score"), 1, 5), "CASE WHEN score IS NOT NULL THEN greatest(least(score, 5), 1) END", "Scores within 1 and 5.")
-_scalar("N04_rounded_latency", "llm_responses", "id", lambda: F.round("latency_ms", 1), "round(latency_ms, 1)", "Rounded to one place.")
+_scalar("N04_rounded_latency", "llm_responses", "id", lambda: F.bround("latency_ms", 1), "round_even(latency_ms, 1)", "Rounded to one place, halves to even.")
 _scalar("T1_month_of_epoch", "request_records", "request_id", lambda: F.date_format(F.timestamp_seconds(F.floor("start_ts")), "yyyyMM"), "strftime(make_timestamp(CAST(floor(start_ts) AS BIGINT) * 1000000), '%Y%m')", "Month of epoch seconds in UTC.")
 _scalar("T3_taipei_time", "documents", "doc_id", lambda: F.date_format(F.from_utc_timestamp(F.col("collected_at").cast("timestamp"), "Asia/Taipei"), "yyyy-MM-dd HH:mm"), "strftime(collected_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M')", "UTC shown in Taipei.")
 _scalar("T4_iso_time", "llm_responses", "id", lambda: F.date_format(t.iso_time(F.col("requested_at")), "yyyy-MM-dd HH:mm:ss"), "strftime(try_cast(requested_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')", "ISO text in UTC, null if broken.")
 _scalar("T5_month_end", "ptt_articles", "article_id", lambda: F.date_format(F.last_day("posted_at"), "yyyy-MM-dd"), "strftime(last_day(posted_at), '%Y-%m-%d')", "Last day of the month.")
-_scalar("X11_facet", "tds_articles", "article_id", lambda: t.facet(F.substring(_c(), 1, 20), F.coalesce(_c(), F.lit("")), TITLE_FACETS, FACETS, "society"), None, "Facet by title, then by keyword hits.")
-_scalar("X12_facet_with_own_name", "documents", "doc_id", lambda: t.facet(F.col("title"), F.coalesce(F.col("text"), F.lit("")), {}, FACETS, "culture", 2, -1), None, "Facet whose own name counts, too.")
 
 
 def _hits(words) -> str:
@@ -70,6 +71,18 @@ _BEST = "greatest(" + ", ".join(f"s_{x}" for x in FACETS) + ")"
 _FACET_SQL = f"""f AS (SELECT *, CASE {' '.join(f"WHEN contains(title, '{p}') THEN '{a}'" for p, a in TITLE_FACETS.items())} WHEN {_BEST} = 0 THEN 'society' {' '.join(f"WHEN s_{x} = {_BEST} THEN '{x}'" for x in FACETS)} END AS facet FROM (SELECT doc_id, title, c, {_SCORES} FROM (SELECT doc_id, coalesce(title, '') AS title, lower(concat_ws(' ', title, text, keyword)) AS c FROM documents)))"""
 
 
+def _facet_case(c: str, titled: str, default: str, bonus: int, floor: int) -> str:
+    """The facet of a text in SQL; c is the name of the lower-case text, titled a title's patterns."""
+    scores = [f"({_hits(words)}" + (f" + CASE WHEN contains(c, '{x.lower()}') THEN {bonus} ELSE 0 END)" if bonus else ")") for x, words in FACETS.items()]
+    best = f"greatest({', '.join(scores)})"
+    return f"CASE {titled} WHEN {q.strip('c')} = '' THEN '{default}' WHEN {best} <= {floor} THEN '{default}' " + " ".join(f"WHEN {score} = {best} THEN '{x}'" for x, score in zip(FACETS, scores)) + " END"
+
+
+_TITLED = " ".join(f"WHEN contains(head, '{p}') THEN '{a}'" for p, a in TITLE_FACETS.items())
+TEXT.add("X11_facet", f"SELECT k, {_facet_case('c', _TITLED, 'society', 0, 0)} AS value FROM (SELECT article_id AS k, substr(content, 1, 20) AS head, lower(coalesce(content, '')) AS c FROM tds_articles)")(lambda spark, folder: table(spark, folder, "tds_articles").select(F.col("article_id").alias("k"), t.facet(F.substring("content", 1, 20), F.coalesce("content", F.lit("")), TITLE_FACETS, FACETS, "society").alias("value")))
+TEXT.add("X12_facet_with_own_name", f"SELECT k, {_facet_case('c', '', 'culture', 2, -1)} AS value FROM (SELECT doc_id AS k, lower(coalesce(text, '')) AS c FROM documents)")(lambda spark, folder: table(spark, folder, "documents").select(F.col("doc_id").alias("k"), t.facet(F.col("title"), F.coalesce("text", F.lit("")), {}, FACETS, "culture", 2, -1).alias("value")))
+
+
 def _faceted(spark, folder):
     d = table(spark, folder, "documents")
     return d.select("doc_id", t.facet(F.coalesce("title", F.lit("")), F.concat_ws(" ", "title", "text", "keyword"), TITLE_FACETS, FACETS, "society").alias("facet"))
@@ -118,20 +131,36 @@ def x07(spark, folder):
     return a.join(r, "article_id", "left").select("article_id", t.thread_text(F.col("content"), F.coalesce("replies", F.array().cast("array<string>"))).alias("thread"))
 
 
-@TEXT.add("X08_split_threads")
+_RAW = q.strip("text")
+_BODY = q.strip(f"regexp_extract({_RAW}, '(?s)【主題】(.*)', 1)")
+_REPLIES = f"CASE WHEN regexp_matches({_BODY}, '\\n\\s*【留言[^】]*】') THEN " + q.strip(f"regexp_extract({_BODY}, '(?s)^.*?\\n\\s*【留言[^】]*】\\n?(.*)', 1)") + " ELSE '' END"
+
+
+@TEXT.add("X08_split_threads", f"SELECT doc_id, CASE WHEN regexp_matches({_BODY}, '\\n\\s*【留言[^】]*】') THEN " + q.strip(f"regexp_extract({_BODY}, '(?s)^(.*?)\\n\\s*【留言[^】]*】', 1)") + f" ELSE {_BODY} END AS post, {_REPLIES} AS replies FROM documents WHERE contains(text, '【主題】')")
 def x08(spark, folder):
     """Post and replies of documents that are threads."""
     parts = t.split_thread(F.col("text"))
     return table(spark, folder, "documents").filter(F.contains("text", F.lit("【主題】"))).select("doc_id", parts["post"].alias("post"), parts["replies"].alias("replies"))
 
 
-@TEXT.add("AR2_replies_as_rows")
+@TEXT.add("AR2_replies_as_rows", f"WITH r AS (SELECT doc_id, list_filter(string_split({_REPLIES}, chr(10)), lambda x: length(x) > 0) AS l FROM documents WHERE contains(text, '【主題】')) SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS reply FROM r")
 def ar2(spark, folder):
     """A row a reply, of documents that are threads."""
     lines = F.filter(F.split(t.split_thread(F.col("text"))["replies"], "\n"), lambda x: F.length(x) > 0)
     return table(spark, folder, "documents").filter(F.contains("text", F.lit("【主題】"))).select("doc_id", F.posexplode(lines).alias("place", "reply"))
 
 
+@TEXT.add("AR3_first_pushes", f"WITH p AS (SELECT DISTINCT article_id, push_no, push_id, {q.strip('tag')} AS tag, {q.strip('content')} AS content FROM ptt_pushes WHERE content <> '' AND {q.strip('content')} <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY push_no, push_id, content, tag) AS place FROM p) SELECT article_id, place, {q.strip("coalesce(tag, '') || ' ' || content")} AS line FROM n WHERE place <= 10")
+def ar3(spark, folder):
+    """The first ten pushes of an article, as lines of tag and text."""
+    from strandmill.operators.topk import top_per_group
+
+    p = table(spark, folder, "ptt_pushes").select("article_id", "push_no", "push_id", t.strip(F.col("tag")).alias("tag"), t.strip(F.col("content")).alias("content")).filter("content <> ''").distinct()
+    order = [F.col("push_no"), F.col("push_id"), F.col("content"), F.col("tag")]
+    few = top_per_group(p, ["article_id"], order, 10, "push_id").withColumn("place", F.row_number().over(Window.partitionBy("article_id").orderBy(*order)))
+    return few.select("article_id", "place", t.strip(F.concat(F.coalesce("tag", F.lit("")), F.lit(" "), F.col("content"))).alias("line"))
+
+
 @TEXT.add("F05_F08_article_filters", "SELECT DISTINCT article_id, date FROM tds_articles WHERE coalesce(comment_count, 0) >= 5 AND length(content) >= 100 AND contains(lower(content), lower('MODEL')) AND (date IS NULL OR date BETWEEN '2024-02-01' AND '2024-05-31')")
 def f05(spark, folder):
     a = table(spark, folder, "tds_articles")
@@ -189,14 +218,21 @@ def o04(spark, folder):
     return trend.cooling(trend.trend_scores(_topics(spark, folder), _FIRST, _LAST))
 
 
-@TEXT.add("A29_weekly_changes", f"WITH {_TOPICS}, w AS (SELECT topic, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(total) AS BIGINT) AS total FROM t GROUP BY 1, 2), c AS (SELECT *, lag(total) OVER (PARTITION BY topic ORDER BY week) AS b FROM w) SELECT topic, week, total, round(CASE WHEN b > 0 THEN (total - b) / b * 100 END, 6) AS change, CASE WHEN b IS NULL THEN '—' WHEN b = 0 THEN CASE WHEN total > 0 THEN 'new' ELSE '—' END ELSE 'change' END AS label FROM c")
+_WEEKS = "w AS (SELECT topic, CAST(date_trunc('week', date) AS DATE) AS week, CAST(sum(total) AS BIGINT) AS total FROM t GROUP BY 1, 2), r AS (SELECT CAST(min(date_trunc('week', date)) AS DATE) AS a, CAST(max(date_trunc('week', date)) AS DATE) AS b FROM t), sp AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM r), sn AS (SELECT week, row_number() OVER (ORDER BY week) - 1 AS i, count(*) OVER () AS n FROM sp), z AS (SELECT x.topic, sn.week, i, n, coalesce(w.total, 0) AS total FROM (SELECT DISTINCT topic FROM w) x CROSS JOIN sn LEFT JOIN w ON w.topic = x.topic AND w.week = sn.week)"
+_PERCENT = "CAST(round_even((total - b) / b * 100, 0) AS BIGINT)"
+
+
+@TEXT.add("A29_weekly_changes", f"WITH {_TOPICS}, {_WEEKS}, c AS (SELECT *, lag(total) OVER (PARTITION BY topic ORDER BY week) AS b FROM z) SELECT topic, week, CAST(total AS BIGINT) AS total, CASE WHEN b IS NULL THEN '—' WHEN b = 0 THEN CASE WHEN total > 0 THEN 'new' ELSE '—' END ELSE (CASE WHEN total >= b THEN '+' WHEN {_PERCENT} = 0 THEN '-' ELSE '' END) || CAST({_PERCENT} AS VARCHAR) || '%' END AS label FROM c")
 def a29(spark, folder):
     return trend.weekly_changes(_topics(spark, folder))
 
 
-@TEXT.add("A30_A31_momentum", f"WITH {_TOPICS}, i AS (SELECT topic, date, coalesce(total, 0) AS total, row_number() OVER (PARTITION BY topic ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY topic) AS n FROM t), a AS (SELECT topic, sum(CASE WHEN i < n // 2 THEN total ELSE 0 END) AS e, sum(CASE WHEN i < n // 2 THEN 0 ELSE total END) AS l, count(*) AS n, arg_max(date, total * 100000 - i) AS peak_date FROM i GROUP BY 1), r AS (SELECT *, l / CASE WHEN e = 0 THEN 1 ELSE e END AS ratio FROM a) SELECT topic, round(ratio, 6) AS ratio, CASE WHEN n < 2 THEN '' WHEN ratio >= 2.0 THEN 'surging' WHEN ratio >= 1.3 THEN 'rising' WHEN ratio >= 0.8 THEN 'flat' WHEN ratio >= 0.5 THEN 'cooling' ELSE 'falling' END AS momentum, peak_date FROM r")
+_KINDS = " ".join(f"WHEN ratio >= {least} THEN '{name}'" for least, name in trend.MOMENTUM)
+
+
+@TEXT.add("A30_A31_momentum", f"WITH {_TOPICS}, {_WEEKS}, a AS (SELECT topic, sum(CASE WHEN i < n // 2 THEN total ELSE 0 END) AS e, sum(CASE WHEN i < n // 2 THEN 0 ELSE total END) AS l, max(n) AS n, arg_max(week, total * 100000 - i) AS peak_week FROM z GROUP BY 1), q AS (SELECT *, l / CASE WHEN e = 0 THEN 1 ELSE e END AS ratio FROM a) SELECT topic, round(ratio, 6) AS ratio, CASE WHEN n < 2 THEN '' {_KINDS} END AS momentum, peak_week FROM q")
 def a30(spark, folder):
-    return trend.momentum(_topics(spark, folder).withColumn("total", F.coalesce("total", F.lit(0).cast("long"))))
+    return trend.momentum(_topics(spark, folder))
 
 
 @TEXT.add("A37_W09_quiet_months", "WITH m AS (SELECT DISTINCT month FROM documents WHERE month IS NOT NULL), s AS (SELECT strftime(g, '%Y%m') AS month FROM generate_series(DATE '2023-10-01', DATE '2025-03-01', INTERVAL 1 MONTH) x(g)), h AS (SELECT s.month, CASE WHEN m.month IS NULL THEN 0 ELSE 1 END AS has FROM s LEFT JOIN m USING (month)) SELECT month, has, sum(has) OVER (ORDER BY month DESC ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 0 AS three_quiet FROM h")

@@ -6,6 +6,7 @@ Each takes one text and gives rows; a text that doesn't fit gives none. Null and
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -13,28 +14,72 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-_OPTION = {**{c: "ABCD"["ＡＢＣＤ".find(c)] for c in "ＡＢＣＤ"}, **{c: "ABCD"["ａｂｃｄ".find(c)] for c in "ａｂｃｄ"}, **{c: str(i + 1) for i, c in enumerate("①②③④")}, **{c: str(i + 1) for i, c in enumerate("１２３４")}}
+# Words of exam papers that tell what a line is.
+CHOICE_WORDS = ("選擇", "單選", "複選", "題組")
+PASSAGE_WORDS = ("題文", "上文", "下文", "上述", "以下圖", "以下表", "以下資料")
+PASSAGE_PHRASES = (("依據", "判斷"), ("根據", "回答"))
+PASSAGE_MARK, NUMBER_ROW, ANSWER_ROW = "◎", "題號", "答案"
+
+_NUMERALS = "一二三四五六七八九十百"
+_VALID = frozenset("ABCD1234")
+
+
+def plain(text: str) -> str:
+    """Full-width and circled characters as ordinary ones, by Unicode's compatibility forms."""
+    return unicodedata.normalize("NFKC", text)
 
 
 def option(c: str) -> str:
     """The ASCII capital or digit of an option's mark."""
-    return _OPTION.get(c, c.upper())
+    return plain(c).upper()
+
+
+def _heading(line: str) -> str | None:
+    """The title of a section's first line, else null."""
+    rest = line.lstrip(_NUMERALS)
+    return rest[1:].strip()[:30] if rest != line and rest[:1] in tuple("、,，。") else None
+
 
+def _numbered(line: str) -> tuple[int, str] | None:
+    """Number and rest of a question's first line, else null."""
+    digits = line[: len(line) - len(line.lstrip("0123456789"))]
+    rest = line[len(digits) :]
+    if not 1 <= len(digits) <= 3 or rest[:1] not in tuple(".．。"):
+        return None
+    rest = rest[1:].strip()
+    if plain(rest[:1]) == "(" and plain(rest[1:].lstrip()[:1]) == ")":
+        rest = rest[1:].lstrip()[1:].lstrip()
+    return (int(digits), rest) if rest else None
 
-def _blocks(text: str, is_start: re.Pattern) -> list[tuple[re.Match | None, str]]:
-    """A text in blocks that begin at matches, each with its match; what comes before the first has none."""
-    starts = list(is_start.finditer(text))
-    edges = [m.start() for m in starts] + [len(text)]
-    head = [(None, text[: edges[0]])]
-    return head + [(m, text[m.start() : edges[i + 1]]) for i, m in enumerate(starts)]
 
+def _choices(block: str) -> tuple[str, dict[str, str], str]:
+    """Text before the first option, options by mark, and the lines after the last option's line."""
+    places = [k for k in range(len(block) - 2) if plain(block[k]) == "(" and plain(block[k + 2]) == ")" and option(block[k + 1]) in _VALID]
+    if not places:
+        return block, {}, ""
+    found, rest = {}, ""
+    for k, end in zip(places, [*places[1:], len(block)]):
+        value = block[k + 3 : end]
+        if end == len(block):
+            value, _, rest = value.partition("\n")
+        if value.strip():
+            found[option(block[k + 1])] = value.strip()
+    return block[: places[0]], found, rest
 
-_SECTION = re.compile(r"^[一二三四五六七八九十百]+[、,，。][ \t]*([^\n]{0,30})", re.M)
-_CHOICE_SECTION = re.compile("選擇|單選|複選|題組")
-_NUMBERED = re.compile(r"^(\d{1,3})[.．。][ \t]*(?:[（(][ \t]*[）)][ \t]*)?(?=\S)", re.M)
-_MARK = re.compile(r"[（(]([ＡＢＣＤａｂｃｄA-Da-d①②③④１２３４1-4])[）)]")
-_REFERS = re.compile("題文|上文|下文|上述|以下圖|以下表|以下資料|依據.*?判斷|根據.*?回答")
-_PAGE = re.compile(r"^\s*(?:[-－—]+\s*\d+\s*[-－—]+|第\s*\d+\s*頁|共\s*\d+\s*頁|\d+\s*年\s*學測|\d+-\d+\s*為題組)")
+
+def _refers(stem: str) -> bool:
+    return any(w in stem for w in PASSAGE_WORDS) or any(a in line and b in line[line.index(a) :] for line in stem.split("\n") for a, b in PASSAGE_PHRASES)
+
+
+def _page_mark(line: str) -> bool:
+    """A line that only numbers pages or groups questions."""
+    words = plain(line).replace("—", "-").strip()
+    bare = words.replace(" ", "")
+    core = bare.strip("-")
+    counted = len(bare) > 1 and bare[0] in "第共" and bare[1:].split("頁")[0].isdigit() and "頁" in bare
+    group = bare.partition("為題組")
+    year = bare.partition("年學測")
+    return (core.isdigit() and core != bare) or counted or bool(group[1]) and group[0].replace("-", "").isdigit() and "-" in group[0] or bool(year[1]) and year[0].isdigit()
 
 
 def questions(text: str | None) -> list[dict]:
@@ -45,56 +90,72 @@ def questions(text: str | None) -> list[dict]:
     """
     if not text:
         return []
-    sections = [(m.group(1), body[m.end() - m.start() :]) for m, body in _blocks(text, _SECTION) if m]
-    bodies = [body for head, body in sections if _CHOICE_SECTION.search(head)] or [text]
+    sections: list[tuple[str, list[str]]] = [("", [])]
+    for line in text.split("\n"):
+        title = _heading(line)
+        if title is None:
+            sections[-1][1].append(line)
+        else:
+            sections.append((title, []))
+    chosen = [lines for title, lines in sections if any(w in title for w in CHOICE_WORDS)] or [text.split("\n")]
     found: dict[int, dict] = {}
-    for body in bodies:
+    for lines in chosen:
+        blocks: list[tuple[int | None, list[str]]] = [(None, [])]
+        for line in lines:
+            head = _numbered(line)
+            if head:
+                blocks.append((head[0], [head[1]]))
+            else:
+                blocks[-1][1].append(line)
         passage = ""
-        for m, block in _blocks(body, _NUMBERED):
-            stem, choices, rest = block, {}, block
-            if m:
-                marks = list(_MARK.finditer(block))
-                ends = [x.start() for x in marks[1:]] + [len(block)]
-                pieces = [(option(x.group(1)), block[x.end() : end]) for x, end in zip(marks, ends)]
-                # The last choice ends with its line; what follows belongs to the next question.
-                if pieces:
-                    key, last = pieces[-1]
-                    pieces[-1] = (key, last.split("\n", 1)[0])
-                    rest = last.split("\n", 1)[1] if "\n" in last else ""
-                choices = {k: v.strip() for k, v in pieces if v.strip()}
-                stem = block[m.end() - m.start() : marks[0].start() if marks else len(block)].strip().rstrip("（(").strip()
-                if len(choices) >= 3 and stem and int(m.group(1)) not in found:
-                    whole = f"{passage}\n\n{stem}" if len(passage) > 20 and _REFERS.search(stem) else stem
-                    found[int(m.group(1))] = {"number": int(m.group(1)), "question": whole, "choices": choices}
-            begin = rest.find("◎")
-            passage = "\n".join(x for x in rest[max(begin, 0) :].splitlines() if not _PAGE.match(x)).strip()
+        for number, own in blocks:
+            block = "\n".join(own)
+            stem, choices, rest = _choices(block) if number is not None else ("", {}, block)
+            stem = stem.strip().rstrip("（(").strip()
+            if number is not None and len(choices) >= 3 and stem and number not in found:
+                found[number] = {"number": number, "question": f"{passage}\n\n{stem}" if len(passage) > 20 and _refers(stem) else stem, "choices": choices}
+            if number is not None and not choices:
+                rest = block
+            after = rest[max(rest.find(PASSAGE_MARK), 0) :]
+            passage = "\n".join(x for x in after.splitlines() if not _page_mark(x)).strip()
     return [found[n] for n in sorted(found)]
 
 
-_VALID = set("ABCD1234")
-_ROW_NUMBERS, _ROW_ANSWERS = re.compile(r"題號\s*((?:\d{1,3}\s+)*\d{1,3})"), re.compile(r"答案\s*((?:[A-Da-dＡ-Ｄａ-ｄ１-４1-4]\s+)*[A-Da-dＡ-Ｄａ-ｄ１-４1-4])")
-_DOTTED, _SPACED = re.compile(r"(\d{1,3})\s*[.．、:：]\s*[（(]?\s*([A-Da-dＡ-Ｄ１-４1-4])(?![A-Za-z0-9])"), re.compile(r"(?<!\d)(\d{1,3})[ \t]+([A-Da-dＡ-Ｄ])(?![A-Za-z0-9])")
-_LETTERS = re.compile(r"^\s*((?:[A-Da-dＡ-Ｄ][ \t]+){4,}[A-Da-dＡ-Ｄ])\s*$", re.M)
+_PAIR = re.compile(r"(?<!\d)(\d{1,3})(?:\s*[.、:]\s*\(?\s*([A-D1-4])|[ \t]+([A-D]))(?![A-Z0-9])", re.I)
+
+
+def _row(text: str, label: str) -> list[str]:
+    """The words after a label, as far as they are numbers or options."""
+    out: list[str] = []
+    for word in text.partition(label)[2].split():
+        if not (word.isdigit() and len(word) <= 3 or option(word) in _VALID):
+            break
+        out.append(option(word))
+    return out
 
 
 def answer_key(text: str | None) -> dict[int, str]:
     """Question number -> answer, by the first of five formats that gives any: table rows, '1. A', '1 A', rows of letters, and numbers and letters on lines in turn (five at least)."""
     if not text:
         return {}
-    numbers, letters = _ROW_NUMBERS.search(text), _ROW_ANSWERS.search(text)
-    formats: list[Callable[[], dict[int, str]]] = [
-        lambda: dict(zip(map(int, numbers.group(1).split()), map(option, letters.group(1).split()))) if numbers and letters else {},
-        lambda: {int(n): option(a) for n, a in _DOTTED.findall(text) if option(a) in _VALID},
-        lambda: {int(n): option(a) for n, a in _SPACED.findall(text) if option(a) in _VALID},
-        lambda: dict(enumerate((option(c) for row in _LETTERS.findall(text) for c in row.split()), 1)),
-        lambda: _alternating([x.strip() for x in text.splitlines() if x.strip()]),
+    text = plain(text)
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    numbers, answers = _row(text, NUMBER_ROW), _row(text, ANSWER_ROW)
+    pairs = [(int(n), dotted.upper(), spaced.upper()) for n, dotted, spaced in _PAIR.findall(text)]
+    letters = [option(w) for x in lines if len(words := x.split()) >= 5 and all(option(w) in "ABCD" and len(w) == 1 for w in words) for w in words]
+    formats: list[dict[int, str]] = [
+        {int(n): a for n, a in zip(numbers, answers) if n.isdigit() and a in _VALID},
+        {n: a for n, a, _ in pairs if a},
+        {n: a for n, _, a in pairs if a},
+        dict(enumerate(letters, 1)),
+        _alternating(lines),
     ]
-    return next((found for f in formats if (found := f())), {})
+    return next((f for f in formats if f), {})
 
 
 def _alternating(lines: list[str]) -> dict[int, str]:
-    pairs = {int(a): option(b) for a, b in zip(lines, lines[1:]) if re.fullmatch(r"\d{1,3}", a) and option(b) in _VALID and not re.fullmatch(r"\d{2,3}", b)}
-    return pairs if len(pairs) >= 5 else {}
+    found = {int(a): option(b) for a, b in zip(lines, lines[1:]) if a.isdigit() and len(a) <= 3 and option(b) in _VALID}
+    return found if len(found) >= 5 else {}
 
 
 class _Tree(HTMLParser):

@@ -30,7 +30,7 @@ def test_bounds_belong_to_ideal(spark):
 def test_rules(spark):
     df = spark.createDataFrame([("true_false", S, "it is true", None), ("true_false", S, "", "FALSE"), ("true_false", S, "答案是TRUE", None), ("qa", S, "TRUE", None), ("true_false", '{"answer": "maybe"}', "TRUE", None), ("school_qa", '{"type": "choice", "answer": "BC"}', "b", None)], "t string, r string, a string, e string")
     args = [F.col(c) for c in "trae"]
-    assert [(x.u, x.v) for x in df.select(b.rule_score_true_false(*args).alias("u"), b.rule_score_choice(*args).alias("v")).collect()] == [(5, None), (1, None), (1, None), (None, None), (None, None), (None, 1)]
+    assert [(x.u, x.v) for x in df.select(b.rule_score_true_false(*args).alias("u"), b.rule_score_choice(*args, ("choice",)).alias("v")).collect()] == [(5, None), (1, None), (1, None), (None, None), (None, None), (None, 1)]
 
 
 def test_leaderboard_order_and_empty(spark):
@@ -72,7 +72,13 @@ def test_trend(spark):
     found = trend.trend_scores(days, "2024-01-01", "2024-01-04").collect()
     assert [(r.topic, r.early_avg, r.recent_avg, r.score) for r in found] == [("a", 0.5, 4.5, round(4 / 1.5, 6))]
     assert trend.filled(days, "2024-01-01", "2024-01-04").count() == 8
-    assert {r.topic: r.momentum for r in trend.momentum(days).collect()} == {"a": "surging", "b": ""}
+    # One week only: no momentum. Then weeks without a row, which count as 0.
+    assert {r.topic: r.momentum for r in trend.momentum(days).collect()} == {"a": "", "b": ""}
+    more = spark.createDataFrame([("a", "2024-01-01", 4), ("a", "2024-01-29", 6), ("b", "2024-01-09", 8), ("b", "2024-01-23", 4)], "t string, d string, v long")
+    far = trend.topic_days(more, "t", F.col("d").cast("date"), F.col("v"))
+    assert {r.topic: (r.ratio, r.momentum, str(r.peak_week)) for r in trend.momentum(far).collect()} == {"a": (1.5, "穩定上升 ↗", "2024-01-29"), "b": (0.5, "緩慢退燒 ↘", "2024-01-08")}
+    labels = {(r.topic, str(r.week)): r.label for r in trend.weekly_changes(far).collect()}
+    assert [labels["b", f"2024-01-{d:02}"] for d in (1, 8, 15, 22, 29)] == ["—", "new", "-100%", "new", "-100%"] and len(labels) == 10
 
 
 def test_chain_roots(spark):
