@@ -295,7 +295,8 @@ def judged_score(text: Column) -> Column:
 def rate_limit_delay(error: Column, now: Column) -> Column:
     """T-6: seconds to the time after 'Limit resets at:' and one more, within 1 and 30; 5 where there is none."""
     told = F.try_to_timestamp(F.regexp_extract(error, r"Limit resets at:\s*([0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2})", 1), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(30.0), (told.cast("double") - now.cast("double")) + 1.0)), F.lit(5.0))
+    wait = told.cast("double") - now.cast("double") + 1.0
+    return F.when(wait.isNull(), 5.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(30.0), wait)))
 
 
 def percent(c: Column, places: int = 1) -> Column:
