@@ -27,10 +27,12 @@ from strandmill.functions.keys import comparable_key
 from strandmill.session import cut
 
 SEED = 20240601
+#: Rows of a partition of the sort; the running sum of one source is made inside one partition only.
+ROWS_PER_PARTITION = 500_000
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.05 and 1: the share of letters, digits and ideographs, less for very short texts and for broken characters."""
+    """A stand-in for a trained quality score, between 0.05 and 1 (`mix` takes any column `weight`): the share of letters, digits and ideographs, less for very short texts and for broken characters."""
     length = F.nullif(F.length(text), F.lit(0))
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / length
     broken = F.length(F.regexp_replace(text, r"[^\x{FFFD}\p{Cc}&&[^\n\r\t]]+", "")) / length
@@ -79,11 +81,13 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[Dat
     spark = documents.sparkSession
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
     keyed = cut(documents.select("doc_id", comparable_key("source").alias("source"), F.col("n_tokens").cast("long").alias("n_tokens"), (-F.log(u) / F.col("weight")).alias("sample_key")).filter(F.col("source").isin(*wanted)))
-    available = {r["source"]: r["n"] for r in keyed.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    totals = keyed.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("rows")).collect()
+    available, rows_used = {r["source"]: r["n"] for r in totals}, sum(r["rows"] for r in totals)
     plans = plan_sources(wanted, available)
     order = ["source", "sample_key", "doc_id"]
-    # The number of partitions is given, so that adaptive execution leaves them as they are.
-    placed = cut(keyed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("pid", F.spark_partition_id()))
+    # A number of partitions by the rows, so that the one in which a budget ends stays small; adaptive execution leaves given ones as they are.
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_used // ROWS_PER_PARTITION))
+    placed = cut(keyed.repartitionByRange(partitions, *order).withColumn("pid", F.spark_partition_id()))
     sums: dict[str, list[tuple[int, int]]] = {}
     for r in placed.groupBy("source", "pid").agg(F.sum("n_tokens").alias("n")).collect():  # sources + partitions rows at most
         sums.setdefault(r["source"], []).append((r["pid"], r["n"]))
