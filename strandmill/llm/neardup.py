@@ -8,8 +8,12 @@ batch the pair is dropped if the posterior probability of a similarity at the th
 the probability of sharing no band (`band_miss` at the threshold, less above it) plus that of the pruning.
 
 Equal texts are one class. All pair work is done between classes; classes are expanded into pairs of ids only by
-`expand_pairs`. A bucket that many classes share is cut into blocks, and each pair of blocks is a task of its own
-(`split_over` classes to a block); nothing is capped.
+`expand_pairs`, which `p2_found` needs; for large corpora `groups` gives a row a text with its class and number of links.
+
+A bucket that more than `split_over` classes share (boilerplate) is banded again: its rows get new buckets from further
+minhash values, as many as keep the chance to lose a pair at `band_miss`. After `DEPTH` such rounds a bucket that is still
+too large is cut into blocks, and each pair of blocks is a task of its own; nothing is capped. A large bucket's rows
+(32 bytes each, no texts) stream through one task once, which passes them on and holds none of them.
 
 Defined results: null texts and texts without a run of `width` letters or digits are in no pair. Rows with a null id are
 dropped. An id may have several texts; it is never paired with itself. Repeated rows count once. Empty tables give no
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandmill.session import cut
 
 WIDTH, THRESHOLD, ROWS_PER_BAND, SIGNATURE, BATCH = 4, 0.6, 3, 128, 32
-MISS, BAND_MISS, SPLIT_OVER = 1e-4, 3e-3, 3000
+MISS, BAND_MISS, SPLIT_OVER, DEPTH = 1e-4, 3e-3, 3000, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,9 +86,9 @@ def run_hashes(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (_mix64(h[keep]) >> np.uint64(32)).astype(np.uint32), np.r_[0, np.cumsum(counts)[:-1]]
 
 
-def minhashes(hashes: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Rows of k minhash values; multipliers are fixed by their number."""
-    seeds = _mix64(np.arange(1, 2 * k + 1, dtype=np.uint64) * _MIX)
+def minhashes(hashes: np.ndarray, starts: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """Rows of k minhash values; multipliers are fixed by their number and the family."""
+    seeds = _mix64(np.arange(1 + family * 1_000_003, 2 * k + 1 + family * 1_000_003, dtype=np.uint64) * _MIX)
     a, b = (seeds[:k] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[k:] >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(starts), k), np.uint32)
     # Pieces that stay in the processor's cache.
@@ -125,6 +129,26 @@ def _band_rows(width: int, bands: int):
     return rows
 
 
+def _again(width: int, bands: int, family: int):
+    """Of batches of (bucket, cid, s1, s2, norm): a row for each band of further minhash values inside the bucket."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 2000):
+                part = batch.iloc[i : i + 2000]
+                values = minhashes(*run_hashes(part["norm"].tolist(), width), bands * ROWS_PER_BAND, family)
+                old = part["bucket"].to_numpy(np.int64).astype(np.uint64)
+                buckets = np.empty((len(part), bands), np.uint64)
+                for b in range(bands):
+                    h = old + np.uint64((b + 1) * int(_MIX) & 0xFFFFFFFFFFFFFFFF)
+                    for r in range(ROWS_PER_BAND):
+                        h = _mix64((h + values[:, b * ROWS_PER_BAND + r].astype(np.uint64)) * _MIX)
+                    buckets[:, b] = h
+                yield pd.DataFrame({"bucket": buckets.view(np.int64).ravel(), **{c: np.repeat(part[c].to_numpy(np.int64), bands) for c in ("cid", "s1", "s2")}})
+
+    return rows
+
+
 def _survivors(s1a, s2a, s1b, s2b, least: tuple[int, ...]) -> np.ndarray:
     """Which pairs pass every batch; later batches look only at those that passed so far."""
     alive, got = np.arange(len(s1a)), np.zeros(len(s1a), np.int64)
@@ -240,18 +264,27 @@ def keyed_texts(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return norm.filter(F.length("norm") >= width).select("field", "id", F.xxhash64("field", "norm").alias("cid"), "norm")
 
 
-def candidate_pairs(keyed: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, band_miss: float = BAND_MISS, width: int = WIDTH, split_over: int = SPLIT_OVER) -> DataFrame:
+_ROW = "bucket long, cid long, s1 long, s2 long"
+
+
+def candidate_pairs(keyed: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, band_miss: float = BAND_MISS, width: int = WIDTH, split_over: int = SPLIT_OVER, depth: int = DEPTH) -> DataFrame:
     """x, y: classes of one field that share a band and survive the pruning."""
-    least = least_matches(threshold, miss)
-    bands = keyed.select("cid", F.xxhash64("field").alias("salt"), "norm").mapInPandas(_band_rows(width, bands_for(threshold, band_miss)), "bucket long, cid long, s1 long, s2 long")
-    found = cut(bands.repartition("bucket").sortWithinPartitions("bucket", "cid").mapInPandas(_bucket_pairs(least, split_over), "x long, y long, block int, s1 long, s2 long"))
-    pairs = found.filter("block < 0").select("x", "y")
-    hot = found.filter("block >= 0").select(F.col("x").alias("bucket"), F.col("y").alias("cid"), "block", "s1", "s2")
-    if not hot.isEmpty():
-        blocks = hot.groupBy("bucket").agg(F.max("block").alias("last"))
-        spread = hot.join(blocks, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-        pairs = pairs.unionByName(spread.groupBy("bucket", "low", "high").applyInPandas(_block_pairs(least), "x long, y long"))
-    return pairs.distinct()
+    least, bands = least_matches(threshold, miss), bands_for(threshold, band_miss)
+    rows = keyed.select("cid", F.xxhash64("field").alias("salt"), "norm").mapInPandas(_band_rows(width, bands), _ROW)
+    pairs, hot = None, None
+    for family in range(depth + 1):
+        found = cut(rows.repartition("bucket").sortWithinPartitions("bucket", "cid").mapInPandas(_bucket_pairs(least, split_over), "x long, y long, block int, s1 long, s2 long"))
+        own = found.filter("block < 0").select("x", "y")
+        pairs = own if pairs is None else pairs.unionByName(own)
+        hot = found.filter("block >= 0").select(F.col("x").alias("bucket"), F.col("y").alias("cid"), "block", "s1", "s2")
+        if hot.isEmpty():
+            return pairs.distinct()
+        if family < depth:
+            texts = keyed.select("cid", "norm").groupBy("cid").agg(F.first("norm").alias("norm"))
+            rows = hot.drop("block").join(texts, "cid").select("bucket", "cid", "s1", "s2", "norm").mapInPandas(_again(width, bands, family + 1), _ROW)
+    blocks = hot.groupBy("bucket").agg(F.max("block").alias("last"))
+    spread = hot.join(blocks, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0), "last"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return pairs.unionByName(spread.groupBy("bucket", "low", "high").applyInPandas(_block_pairs(least), "x long, y long")).distinct()
 
 
 def _verify(threshold: float, width: int):
@@ -297,9 +330,16 @@ def expand_pairs(keyed: DataFrame, classes: DataFrame) -> DataFrame:
     return across.unionByName(within).select("field", F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Number of edges and the sums of two hashes of them: equal for equal sets."""
+    h = lambda seed: F.sum(F.xxhash64("x", "y", F.lit(seed)).cast("decimal(20,0)"))
+    return tuple(edges.agg(F.count("*"), h(1), h(2)).first())
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, group: the least node of each connected component of (x, y); alternates large and small stars, checkpointed, until nothing changes."""
     e = cut(edges.select("x", "y").filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    before = _mark(e)
     while True:
         around = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = around.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -308,9 +348,10 @@ def connected(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(small_least, "x").select(F.when(F.col("y") == F.col("m"), F.col("x")).otherwise(F.col("y")).alias("x"), F.col("m").alias("y")).filter("x <> y").distinct()
         small = cut(small)
-        if small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty():
+        now = _mark(small)
+        if now == before:
             break
-        e = small
+        e, before = small, now
     return e.select(F.col("x").alias("node"), F.col("y").alias("group")).unionByName(e.select(F.col("y").alias("node"), F.col("y").alias("group")).distinct())
 
 
