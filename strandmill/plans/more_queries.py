@@ -218,3 +218,58 @@ def m11(spark, folder):
     d = table(spark, folder, "ptt_articles").select("article_id", "board", "posted_at").distinct().filter("posted_at is not null").groupBy(F.col("posted_at").cast("date").alias("date"), "board").agg(F.count("*").alias("n"))
     busiest = d.groupBy("date").agg(F.sum("n").alias("s")).orderBy(F.col("s").desc(), "date").limit(1)
     return d.join(F.broadcast(busiest.select("date")), "date", "left_semi").select("board", "n")
+
+
+@MORE.add("O02_run_history", "SELECT DISTINCT id, created_at, status FROM qual_runs ORDER BY created_at DESC, id")
+def o02(spark, folder):
+    return table(spark, folder, "qual_runs").select("id", "created_at", "status").distinct().orderBy(F.col("created_at").desc(), "id")
+
+
+@MORE.add("O09_first_details", f"WITH {q.RESULTS} SELECT id, model_key, task_type, score FROM results ORDER BY id LIMIT 10")
+def o09(spark, folder):
+    """A report's first ten details, in order."""
+    return results(spark, folder).select("id", "model_key", "task_type", "score").orderBy("id").limit(10)
+
+
+@MORE.add("O10_models_by_count", f"WITH {q.RESULTS} SELECT model_key AS model, count(*) AS n, max(finished_at) AS latest FROM results GROUP BY 1 ORDER BY n DESC, model")
+def o10(spark, folder):
+    return results(spark, folder).groupBy(F.col("model_key").alias("model")).agg(F.count("*").alias("n"), F.max("finished_at").alias("latest")).orderBy(F.col("n").desc(), "model")
+
+
+@MORE.add("O11_articles_of_a_day", "SELECT DISTINCT article_id, comment_count FROM tds_articles WHERE date = '2024-03-05' ORDER BY comment_count DESC NULLS LAST, article_id")
+def o11(spark, folder):
+    a = table(spark, folder, "tds_articles").filter("date = '2024-03-05'").select("article_id", "comment_count").distinct()
+    return a.orderBy(F.col("comment_count").desc_nulls_last(), "article_id")
+
+
+@MORE.add("S21_articles_of_a_week", "SELECT DISTINCT article_id, date, comment_count FROM tds_articles WHERE date BETWEEN '2024-02-26' AND '2024-03-03' ORDER BY comment_count DESC NULLS LAST, article_id, date LIMIT 50")
+def s21(spark, folder):
+    """The top fifty of a week that spans two months; the range reaches the scan."""
+    a = table(spark, folder, "tds_articles").filter(F.col("date").between("2024-02-26", "2024-03-03")).select("article_id", "date", "comment_count").distinct()
+    return a.orderBy(F.col("comment_count").desc_nulls_last(), "article_id", "date").limit(50)
+
+
+@MORE.add("M10_date_keys", "SELECT DISTINCT article_id, coalesce(strftime(posted_at, '%Y%m'), '') AS month, coalesce(strftime(posted_at, '%Y-%m-%d'), '') AS date FROM ptt_articles")
+def m10(spark, folder):
+    own = table(spark, folder, "ptt_articles")
+    return own.select("article_id", F.coalesce(F.date_format("posted_at", "yyyyMM"), F.lit("")).alias("month"), F.coalesce(F.date_format("posted_at", "yyyy-MM-dd"), F.lit("")).alias("date")).distinct()
+
+
+@MORE.add("M19_items_by_type", f"WITH {q.ITEMS} SELECT lower(task_type) AS task_type, count(*) AS n FROM items GROUP BY 1")
+def m19(spark, folder):
+    return _items(spark, folder).groupBy(F.lower("task_type").alias("task_type")).agg(F.count("*").alias("n"))
+
+
+@MORE.add("X22_M22_label_lists", f"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(title, '[,，\\n]'), lambda x: {q.strip('x')}), lambda x: x <> '')[1] AS first_label FROM documents WHERE title IS NOT NULL")
+def x22(spark, folder):
+    """The first label of a list between commas."""
+    d = table(spark, folder, "documents").filter("title is not null")
+    return d.select("doc_id", F.get(t.label_list(F.col("title")), F.lit(0)).alias("first_label"))
+
+
+@MORE.add("K11_benchmark_export", "SELECT scenario, server, concurrency_level, count(*) AS requests, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens FROM request_records GROUP BY 1, 2, 3")
+def k11(spark, folder):
+    """Rows of the export; nulls are 0. `sinks` write them as CSV, JSON or a Markdown table."""
+    r = table(spark, folder, "request_records")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    return r.groupBy("scenario", "server", "concurrency_level").agg(F.count("*").alias("requests"), total("output_tokens"), total("input_tokens"))
